@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, packing, sharding
+from . import bpe, exact, minhash, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op4_sharding": sharding.op4_sharding,
+        "op5_minhash": minhash.op5_minhash,
         "op6_bpe": bpe.op6_bpe,
         "op7_packing": packing.op7_packing,
         "op10_exact_dedup": exact.op10_exact_dedup,
