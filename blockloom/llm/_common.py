@@ -4,23 +4,40 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    The folder is read from the session; only where it is unset (single-machine tests) is one made.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (single-machine tests) is one made."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage and keep each partition's rows and their order."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table written to the checkpoint folder, which goes when the session ends.
+
+    Unlike a checkpoint, it doesn't hand on the size estimates of its plan, which are multiplied with each join of an
+    iteration; what is read again has the sizes of its files. Rows can come back in other partitions.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, power_of_two, shuffle_partitions, table
+from ._common import checkpoint, power_of_two, shuffle_partitions, table
 
 KEY = ["sha", "size", "check"]
 
@@ -59,7 +59,7 @@ def exact_dedup(
     spark = docs.sparkSession
     p = power_of_two(partitions or shuffle_partitions(spark))
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    slim = cut(
+    slim = checkpoint(
         docs.select(
             F.col(id_col).alias("id"),
             F.monotonically_increasing_id().alias("uid"),

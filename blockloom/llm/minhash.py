@@ -6,8 +6,8 @@ indexed once for each choice of the ERRORS components that may differ, and every
 bucket. Candidates are confirmed on full shingle sets.
 
 Texts with equal sets are one class from the start. In a bucket, classes are first compared with two pivots only; what
-that leaves in different components is then compared in blocks, so a bucket of thousands of near copies costs about as
-many comparisons as it has classes.
+that leaves in different components then tries the few most like it, and only what is apart after that is compared in
+full, in blocks. So a bucket of thousands of near copies costs about as many comparisons as it has classes.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SIZE = CHUNKS * WIDTH
 AGREE = SIZE // 2
 #: Classes of a bucket that are compared in one block.
 BLOCK = 2048
+#: Candidates that a class tries before all of them are compared.
+BEST = 3
 #: Words that a worker remembers at most; the memory is emptied when it is full.
 REMEMBER = 250_000
 
@@ -147,19 +149,34 @@ def _confirm(percent: int):
     return run
 
 
-def _cross(percent: int):
-    """Pairs of different components in one block pair of a bucket whose signatures and sizes allow a link. The rows of
-    a block pair come one after another."""
+def _across(percent: int, best: int | None):
+    """Pairs of different components in one block pair of a bucket whose signatures and sizes allow a link: all of them,
+    or, for each class outside the block's largest component, the ``best`` that agree most. The rows of a block pair come
+    one after another."""
 
-    def pairs(rows: pa.Table):
+    def pairs(rows: pa.Table) -> list[tuple[int, int]]:
         node, comp, n, left, right = (rows[c].to_numpy() for c in ("node", "comp", "n", "left", "right"))
         sig = _matrix(rows["sig"].combine_chunks())
-        for i in np.flatnonzero(left):
-            may = np.flatnonzero(right & (comp != comp[i]) & ((node > node[i]) | ~left) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if len(may):
-                may = may[(sig[may] == sig[i]).sum(axis=1) >= AGREE]
-                for j in may:
-                    yield min(node[i], node[j]), max(node[i], node[j])
+        names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
+        ask = left & (where != count.argmax()) if best else left
+        out = []
+        for i in np.flatnonzero(ask):
+            may = right & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if not best:
+                # A pair of the same block is met once; one with the largest component comes from its other side.
+                may &= ~left | (node > node[i])
+            may = np.flatnonzero(may)
+            if not len(may):
+                continue
+            agree = (sig[may] == sig[i]).sum(axis=1)
+            if best:
+                order = np.lexsort((may, -agree))[:best]
+                may, agree = may[order], agree[order]
+            out += [(min(node[i], x), max(node[i], x)) for x in node[may[agree >= AGREE]]]
+        return out
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     def run(batches):
         held = None
@@ -171,11 +188,11 @@ def _cross(percent: int):
             ids = np.stack([rows[c].to_numpy() for c in ("bucket", "i", "j")])
             starts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
             for s, t in zip(starts, starts[1:]):
-                if found := [*pairs(rows.slice(s, t - s))]:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+                if found := pairs(rows.slice(s, t - s)):
+                    yield batch(found)
             held = rows.slice(starts[-1])
-        if held is not None and (found := [*pairs(held)]):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+        if held is not None and (found := pairs(held)):
+            yield batch(found)
 
     return run
 
@@ -228,18 +245,20 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
     links = cut(confirmed(likely(pivots)))
     roots = cut(components(links))
-    # What the pivots left apart: buckets with classes of several components, three classes at least.
-    apart = members.filter("size > 2").join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("comp"))
-    several = apart.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
-    apart = apart.join(several, "bucket").join(sizes, "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    apart = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    apart = apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "n", "sig", "own")
-    apart = apart.withColumns({"left": F.col("own") == F.col("i"), "right": F.col("own") == F.col("j")}).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    more = apart.mapInArrow(_cross(percent), "u long, v long").distinct()
-    links = links.unionByName(confirmed(more))
-    roots = components(links)
+    # What the pivots left apart: buckets with classes of several components, three classes at least. First each class
+    # tries those most like it; then all pairs that are still across components are confirmed or not.
+    crowded = members.filter("size > 2")
+    for best in (BEST, None):
+        apart = crowded.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("comp"))
+        several = apart.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
+        apart = apart.join(several, "bucket").join(sizes, "node")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        apart = apart.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        apart = apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "n", "sig", "own")
+        apart = apart.withColumns({"left": F.col("own") == F.col("i"), "right": F.col("own") == F.col("j")}).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+        more = apart.mapInArrow(_across(percent, best), "u long, v long").distinct()
+        links = cut(links.unionByName(confirmed(more)))
+        roots = cut(components(links))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id")).alias("least")).select("root", F.col("least.least_id").alias("component_id"))
     answer = classes.join(named, "root").select("key", "component_id", "root")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, shuffle_partitions, table
+from ._common import checkpoint, shuffle_partitions, table
 
 ROUNDS = 6
 
@@ -78,7 +78,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "doc_id
     ignored.
     """
     spark = docs.sparkSession
-    slim = cut(
+    slim = checkpoint(
         docs.select(
             F.col(id_col).alias("id"),
             (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
@@ -87,7 +87,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "doc_id
         )
     )
     order = ["id", "crc", "size", "uid"]
-    ranged = cut(slim.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    ranged = checkpoint(slim.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}  # one number for each partition
     first, n = {}, 0
     for part in sorted(counts):
