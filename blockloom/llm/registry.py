@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, minhash, packing, sharding
+from . import bpe, covertree, exact, lines, minhash, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
+        "op2_line_dedup": lines.op2_line_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_sharding": sharding.op4_sharding,
         "op5_minhash": minhash.op5_minhash,
         "op6_bpe": bpe.op6_bpe,
         "op7_packing": packing.op7_packing,
+        "op9_embeddings": covertree.op9_embeddings,
         "op10_exact_dedup": exact.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": exact.SQL}
+    return {"op2_line_dedup": lines.SQL, "op10_exact_dedup": exact.SQL}
