@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, covertree, exact, lines, minhash, packing, quality, sharding, toxicity
+import corpus_pipeline
+
+from . import bpe, covertree, exact, htmltext, lines, minhash, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -14,10 +16,13 @@ def queries() -> dict:
         "op5_minhash": minhash.op5_minhash,
         "op6_bpe": bpe.op6_bpe,
         "op7_packing": packing.op7_packing,
+        "op8_html": htmltext.op8_html,
         "op9_embeddings": covertree.op9_embeddings,
         "op10_exact_dedup": exact.op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": lines.SQL, "op10_exact_dedup": exact.SQL}
+    out = {"op2_line_dedup": lines.SQL, "op10_exact_dedup": exact.SQL}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -1,4 +1,71 @@
-"""The corpus pipeline: stages are added as their operators are."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and hands a DataFrame on, written as Parquet and read again.
 
-STAGES = []
+Rows that repeat a doc_id are told apart by their texts; rows that repeat both go or stay together in the filters.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from blockloom.llm import lines, minhash, packing, quality, toxicity
+from blockloom.llm._common import table, tokenizer_path
+
+
+def _decided(docs: DataFrame, score, kept) -> DataFrame:
+    """Score each text and keep rows. The classifiers are narrow, so rows are matched by what decides: the text."""
+    keyed = docs.withColumn("__key", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(7), F.col("text"))))
+    scored = score(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    gone = scored.filter(~kept).select(F.col("doc_id").alias("__gone")).distinct()
+    return keyed.join(gone, keyed["__key"] == gone["__gone"], "left_anti").drop("__key")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _decided(docs, lambda d: quality.score_quality(d, model), F.col("predicted") == 1)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _decided(docs, lambda d: toxicity.score_toxicity(d, model), F.col("predicted") == 0)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    decided = minhash.near_dedup(docs, words=5, percent=80)
+    kept = decided.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    gone = decided.filter("NOT kept").groupBy(F.col("doc_id").alias("__gone")).agg(F.count("*").alias("__n"))
+    return docs.join(gone.join(kept, gone["__gone"] == kept["doc_id"], "left_anti").select("__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: SQL can express neither the classifiers nor the tokenizer.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all documents; what a stage returns is written to the shared folder and read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockloom-")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{i}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
