@@ -6,8 +6,9 @@ indexed once for each choice of the ERRORS components that may differ, and every
 bucket. Candidates are confirmed on full shingle sets.
 
 Texts with equal sets are one class from the start. In a bucket, classes are first compared with two pivots only; what
-that leaves in different components then tries the few most like it, and only what is apart after that is compared in
-full, in blocks. So a bucket of thousands of near copies costs about as many comparisons as it has classes.
+that leaves in different components then tries the few most like it. Components that still have alike signatures are
+brought together, and those outside the largest are compared with all the rest on full sets, in blocks: no pairs are
+written but links.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SIZE = CHUNKS * WIDTH
 #: probability under 1e-6.
 AGREE = SIZE // 2
 #: Classes of a bucket that are compared in one block.
-BLOCK = 2048
+BLOCK = 1024
 #: Candidates that a class tries before all of them are compared.
 BEST = 3
 #: Words that a worker remembers at most; the memory is emptied when it is full.
@@ -133,7 +134,25 @@ def _index(batches):
                 keys.append(((h * _C2) ^ (h >> np.uint64(32))).view(np.int64))
         for i in range(0, len(keys), 6):
             part = keys[i : i + 6]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.tile(node, len(part)))], names=["bucket", "node"])
+            slot = np.repeat(np.arange(i, i + len(part), dtype=np.int32), len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.tile(node, len(part))), pa.array(slot)], names=["bucket", "node", "slot"])
+
+
+_FREE = {free: i for i, free in enumerate(combinations(range(WIDTH), ERRORS))}
+
+
+def _first_slot(same: np.ndarray) -> np.ndarray:
+    """The first of the buckets that pairs share, by which components agree: each pair is taken up in one bucket only."""
+    by_chunk = same.reshape(-1, CHUNKS, WIDTH)
+    chunk = (by_chunk.sum(axis=2) >= WIDTH - ERRORS).argmax(axis=1)
+    own = by_chunk[np.arange(len(same)), chunk]
+    # What differs must be free; the first choice of free components that has it.
+    choice = np.full(len(same), -1)
+    for free, i in sorted(_FREE.items(), key=lambda x: -x[1]):
+        bound = np.ones(WIDTH, dtype=bool)
+        bound[list(free)] = False
+        choice[own[:, bound].all(axis=1)] = i
+    return chunk * len(_FREE) + choice
 
 
 def _confirm(percent: int):
@@ -150,12 +169,12 @@ def _confirm(percent: int):
 
 
 def _across(percent: int, best: int | None):
-    """Pairs of different components in one block pair of a bucket whose signatures and sizes allow a link: all of them,
-    or, for each class outside the block's largest component, the ``best`` that agree most. The rows of a block pair come
-    one after another."""
+    """What signatures and sizes allow to be linked across components, in one block pair of a bucket: for each class
+    outside the block's largest component the ``best`` that agree most, or, without a number, each pair of components
+    once. The rows of a block pair come one after another."""
 
     def pairs(rows: pa.Table) -> list[tuple[int, int]]:
-        node, comp, n, left, right = (rows[c].to_numpy() for c in ("node", "comp", "n", "left", "right"))
+        node, comp, n, left, right, slot = (rows[c].to_numpy() for c in ("node", "comp", "n", "left", "right", "slot"))
         sig = _matrix(rows["sig"].combine_chunks())
         names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
         ask = left & (where != count.argmax()) if best else left
@@ -168,13 +187,51 @@ def _across(percent: int, best: int | None):
             may = np.flatnonzero(may)
             if not len(may):
                 continue
-            agree = (sig[may] == sig[i]).sum(axis=1)
+            same = sig[may] == sig[i]
+            agree = same.sum(axis=1)
+            here = (agree >= AGREE) & (_first_slot(same) == slot[i] if best else True)
+            may, agree = may[here], agree[here]
             if best:
                 order = np.lexsort((may, -agree))[:best]
                 may, agree = may[order], agree[order]
-            out += [(min(node[i], x), max(node[i], x)) for x in node[may[agree >= AGREE]]]
+            names_of = node if best else comp
+            out += [(min(names_of[i], x), max(names_of[i], x)) for x in names_of[may]]
+        return out if best else [*set(out)]
+
+    return _by_block(pairs, ["bucket", "i", "j"])
+
+
+def _settle(percent: int):
+    """Links of the left rows of a block pair with the right ones of other components, by full sets: one for each row and
+    component. The sets of the right rows are counted all at once for a left row."""
+
+    def links(rows: pa.Table):
+        node, comp, left, right = (rows[c].to_numpy() for c in ("node", "comp", "left", "right"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"].to_pylist()]
+        r = np.flatnonzero(right)
+        if not len(r) or not left.any():
+            return []
+        flat = np.concatenate([sets[k] for k in r])
+        size = np.array([len(sets[k]) for k in r])
+        starts = np.r_[0, np.cumsum(size)[:-1]]
+        known, ids = np.unique(flat, return_inverse=True)
+        out = []
+        for i in np.flatnonzero(left):
+            at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+            mark = np.zeros(len(known), dtype=np.int64)
+            mark[at[known[at] == sets[i]]] = 1
+            common = np.add.reduceat(mark[ids], starts)
+            ok = np.flatnonzero((comp[r] != comp[i]) & (100 * common >= percent * (size + len(sets[i]) - common)))
+            _, first = np.unique(comp[r[ok]], return_index=True)
+            out += [(node[i], node[k]) for k in r[ok[first]]]
         return out
 
+    return _by_block(links, ["root", "i", "j"])
+
+
+def _by_block(pairs, key: list[str]):
+    """Run over sorted batches, a block at a time."""
+
     def batch(found):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
@@ -185,7 +242,7 @@ def _across(percent: int, best: int | None):
             rows = pa.concat_tables([held, rows]) if held is not None else rows
             if not rows.num_rows:
                 continue
-            ids = np.stack([rows[c].to_numpy() for c in ("bucket", "i", "j")])
+            ids = np.stack([rows[c].to_numpy() for c in key])
             starts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
             for s, t in zip(starts, starts[1:]):
                 if found := pairs(rows.slice(s, t - s)):
@@ -214,7 +271,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     classes = cut(
         rows.filter("n > 0").groupBy("key").agg(F.min(first).alias("first"), F.min("id").alias("least_id")).select("key", F.col("first.uid").alias("node"), F.col("first.id").alias("id"), "first.check", "first.n", "first.sig", "least_id")
     )
-    index = classes.select("node", "sig").mapInArrow(_index, "bucket long, node long")
+    index = classes.select("node", "sig").mapInArrow(_index, "bucket long, node long, slot int")
     buckets = index.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high")
     members = cut(index.join(buckets, "bucket"))
     pivots = members.select(F.col("low").alias("u"), F.col("node").alias("v")).unionByName(members.select(F.col("node").alias("u"), F.col("high").alias("v"))).filter("u < v").distinct()
@@ -233,12 +290,15 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["node", "set"])
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node").select("node", "id", "check")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        need = nodes.select("node", "id", "check")
         texts = base.join(need, base["id"].eqNullSafe(need["id"]) & (base["check"] == need["check"])).select("node", "text")
         # Rows that repeat an id and a text give a class's set again; one is enough.
-        sets = cut(texts.dropDuplicates(["node"]).mapInArrow(shingles, "node long, set binary"))
+        return cut(texts.dropDuplicates(["node"]).mapInArrow(shingles, "node long, set binary"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node"))
         for c in ("v", "u"):
             pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")), c)
         return pairs.mapInArrow(_confirm(percent), "u long, v long")
@@ -246,19 +306,32 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     links = cut(confirmed(likely(pivots)))
     roots = cut(components(links))
     # What the pivots left apart: buckets with classes of several components, three classes at least. First each class
-    # tries those most like it; then all pairs that are still across components are confirmed or not.
+    # tries those most like it; after that only the components that are still alike are named.
     crowded = members.filter("size > 2")
     for best in (BEST, None):
-        apart = crowded.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("comp"))
+        apart = crowded.join(roots, "node", "left").select("bucket", "node", "slot", "size", F.coalesce("root", "node").alias("comp"))
         several = apart.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
         apart = apart.join(several, "bucket").join(sizes, "node")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         apart = apart.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        apart = apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "n", "sig", "own")
+        apart = apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "slot", "comp", "n", "sig", "own")
         apart = apart.withColumns({"left": F.col("own") == F.col("i"), "right": F.col("own") == F.col("j")}).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-        more = apart.mapInArrow(_across(percent, best), "u long, v long").distinct()
-        links = cut(links.unionByName(confirmed(more)))
-        roots = cut(components(links))
+        more = cut(apart.mapInArrow(_across(percent, best), "u long, v long").distinct())
+        if best:
+            links = cut(links.unionByName(confirmed(more)))
+            roots = cut(components(links))
+    # Components that are still alike, taken together: those outside the largest of them are compared with all.
+    near = cut(components(more)).select(F.col("node").alias("comp"), F.col("root").alias("root"))
+    crowd = classes.select("node", "id", "check").join(roots, "node", "left").select("node", "id", "check", F.coalesce("root", "node").alias("comp")).join(near, "comp")
+    counts = crowd.groupBy("root", "comp").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("root").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
+    largest = largest.select("root", F.col("m.comp").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("int").alias("b"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.n")) / BLOCK)).cast("int").alias("s"))
+    crowd = cut(crowd.join(largest, "root").join(sets_of(crowd), "node"))
+    own, mine = F.pmod(F.xxhash64("node"), F.col("b")).cast("int"), F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
+    right = crowd.select("root", "node", "comp", "set", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    left = crowd.filter("comp <> main").select("root", "node", "comp", "set", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("i"), mine.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    blocks = right.unionByName(left).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    roots = components(links.unionByName(blocks.mapInArrow(_settle(percent), "u long, v long")))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id")).alias("least")).select("root", F.col("least.least_id").alias("component_id"))
     answer = classes.join(named, "root").select("key", "component_id", "root")
