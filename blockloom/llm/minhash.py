@@ -170,8 +170,8 @@ def _confirm(percent: int):
 
 def _across(percent: int, best: int | None):
     """What signatures and sizes allow to be linked across components, in one block pair of a bucket: for each class
-    outside the block's largest component the ``best`` that agree most, or, without a number, each pair of components
-    once. The rows of a block pair come one after another."""
+    outside the block's largest component the ``best`` that agree most, or, without a number, a forest that connects
+    components so alike. The rows of a block pair come one after another."""
 
     def pairs(rows: pa.Table) -> list[tuple[int, int]]:
         node, comp, n, left, right, slot = (rows[c].to_numpy() for c in ("node", "comp", "n", "left", "right", "slot"))
@@ -196,11 +196,30 @@ def _across(percent: int, best: int | None):
                 may, agree = may[order], agree[order]
             names_of = node if best else comp
             out += [(min(names_of[i], x), max(names_of[i], x)) for x in names_of[may]]
-        return out if best else [*set(out)]
+        return out if best else _spanning(set(out))
 
     return _by_block(pairs, ["bucket", "i", "j"])
 
 
+def _spanning(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs connect, fewer than there are nodes."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    out = []
+    for u, v in sorted(pairs):
+        a, b = top(u), top(v)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((u, v))
+    return out
+
+
 def _settle(percent: int):
     """Links of the left rows of a block pair with the right ones of other components, by full sets: one for each row and
     component. The sets of the right rows are counted all at once for a left row."""
