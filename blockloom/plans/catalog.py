@@ -1,11 +1,177 @@
-"""The registered queries of the block codec, with their SQL."""
+"""The registered queries of the block codec, with their SQL.
+
+Embeddings serve as images: one vector of 64 is one 8x8 block, and a label is an image of many blocks. Each query is a
+stack of named steps; the same steps in the other dialect make its SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions import tables
+from ..functions.dialect import Ansi, Spark
+from ..operators import codec
+
+#: (name, expression) steps; each can use the columns before it.
+STEPS: dict[str, Callable[[Spark], str]] = {
+    "px": codec.pixels,
+    "shifted": codec.level_shift,
+    "dct": codec.dct,
+    "q": codec.quantise,
+    "scan_rank": lambda d: codec.permute(d, tables.rank(), "q"),
+    "scan_zigzag": lambda d: codec.permute(d, tables.zigzag(), "q"),
+    "deq": codec.dequantise,
+    "idct": lambda d: codec.dct(d, "deq", inverse=True),
+    "rec": codec.restore,
+    "fixed": codec.dct_stream,
+    "q_fixed": lambda d: codec.quantise_stream(d, "fixed"),
+}
+NEEDS = {"px": [], "shifted": ["px"], "dct": ["shifted"], "q": ["dct"], "scan_rank": ["q"], "scan_zigzag": ["q"], "deq": ["q"], "idct": ["deq"], "rec": ["idct"], "fixed": ["shifted"], "q_fixed": ["fixed"]}
+BASE = ["vec_id", "label"]
+
+
+def _chain(step: str) -> list[str]:
+    out: list[str] = []
+    for need in NEEDS[step]:
+        out += [x for x in _chain(need) if x not in out]
+    return [*out, step]
+
+
+def _sql(d: Spark, want: list[str], tail: str) -> str:
+    """Common table expressions up to the wanted steps, then the tail over ``blocks``."""
+    order: list[str] = []
+    for w in want:
+        order += [s for s in _chain(w) if s not in order]
+    parts, seen, last = ["s0 AS (SELECT vec_id, label, embedding FROM embeddings)"], [*BASE, "embedding"], "s0"
+    for k, s in enumerate(order, 1):
+        parts.append(f"s{k} AS (SELECT {', '.join(seen)}, {STEPS[s](d)} AS {s} FROM {last})")
+        seen.append(s)
+        last = f"s{k}"
+    return f"WITH {', '.join(parts)}, blocks AS (SELECT {', '.join(x for x in seen if x != 'embedding')} FROM {last}), {tail}"
+
+
+def _long(d: Spark, column: str, more: str = "") -> str:
+    """A row for each element of an array column: vec_id, label, pos, v."""
+    if isinstance(d, Ansi):
+        return f"SELECT vec_id, label{more}, unnest(range(0, 64)) AS pos, unnest({column}) AS v FROM blocks"
+    return f"SELECT vec_id, label{more}, pos, v FROM blocks LATERAL VIEW posexplode({column}) AS pos, v"
+
+
+def _pairs(d: Spark, column: str = "scan_rank") -> str:
+    """Run-length pairs: nonzero coefficients after the first, each with the number of zeros before it."""
+    return (
+        f"e AS ({_long(d, column)}), nz AS (SELECT * FROM e WHERE pos > 0 AND v <> 0), "
+        "pairs AS (SELECT vec_id, label, CAST(row_number() OVER w - 1 AS INT) AS pair_idx, CAST(pos - lag(pos, 1, 0) OVER w - 1 AS INT) AS zero_run, CAST(v AS INT) AS value "
+        "FROM nz WINDOW w AS (PARTITION BY vec_id ORDER BY pos))"
+    )
+
+
+def _array(column: str) -> Callable[[Spark], str]:
+    return lambda d: _sql(d, [column], f"e AS ({_long(d, column)}) SELECT vec_id, CAST(pos AS INT) AS pos, CAST(v AS BIGINT) AS v FROM e")
+
+
+def _pixel_errors(d: Spark) -> str:
+    if isinstance(d, Ansi):
+        return "e AS (SELECT vec_id, label, unnest(px) AS o, unnest(rec) AS r FROM blocks)"
+    return "e AS (SELECT vec_id, label, z.px AS o, z.rec AS r FROM blocks LATERAL VIEW explode(arrays_zip(px, rec)) AS z)"
+
+
+SUMS = (
+    "count(*) AS pixels, CAST(sum(r - o) AS BIGINT) AS signed_error, CAST(sum(abs(r - o)) AS BIGINT) AS absolute_error, CAST(sum((r - o) * (r - o)) AS BIGINT) AS squared_error, "
+    "CAST(sum(o * o) AS BIGINT) AS signal, CAST(max(abs(r - o)) AS INT) AS max_absolute_error, CAST(sum(CASE WHEN r = o THEN 1 ELSE 0 END) AS BIGINT) AS exact_pixels, "
+    "CAST(sum(CASE WHEN abs(r - o) <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS within_1, CAST(sum(CASE WHEN abs(r - o) <= 2 THEN 1 ELSE 0 END) AS BIGINT) AS within_2"
+)
+DERIVED = (
+    "round(squared_error / CAST(pixels AS DOUBLE), 6) AS mse, round(sqrt(squared_error / CAST(pixels AS DOUBLE)), 6) AS rmse, round(absolute_error / CAST(pixels AS DOUBLE), 6) AS mae, "
+    "round(signed_error / CAST(pixels AS DOUBLE), 6) AS mean_error, max_absolute_error, round(100.0 * exact_pixels / CAST(pixels AS DOUBLE), 6) AS exact_percent, "
+    "round(100.0 * within_1 / CAST(pixels AS DOUBLE), 6) AS within_1_percent, round(100.0 * within_2 / CAST(pixels AS DOUBLE), 6) AS within_2_percent"
+)
+PSNR = "CASE WHEN squared_error = 0 THEN CAST('inf' AS DOUBLE) ELSE round(10 * log10(65025.0 * pixels / CAST(squared_error AS DOUBLE)), 6) END"
+SNR = "CASE WHEN squared_error = 0 THEN CAST('inf' AS DOUBLE) WHEN signal = 0 THEN CAST('-inf' AS DOUBLE) ELSE round(10 * log10(signal / CAST(squared_error AS DOUBLE)), 6) END"
+
+
+def _metrics(tail: str) -> Callable[[Spark], str]:
+    return lambda d: _sql(d, ["rec"], f"{_pixel_errors(d)}, sums AS (SELECT label, {SUMS} FROM e GROUP BY label), m AS (SELECT label AS image, pixels, {DERIVED}, {PSNR} AS psnr_db, {SNR} AS snr_db, squared_error FROM sums) {tail}")
+
+
+def _ssim(d: Spark) -> str:
+    return _sql(
+        d, ["rec"],
+        f"{_pixel_errors(d)}, w AS (SELECT label, vec_id, avg(o) AS mo, avg(r) AS mr, avg(o * o) - avg(o) * avg(o) AS vo, avg(r * r) - avg(r) * avg(r) AS vr, avg(o * r) - avg(o) * avg(r) AS c FROM e GROUP BY label, vec_id) "
+        "SELECT label AS image, count(*) AS windows, round(avg((2 * mo * mr + 6.5025) * (2 * c + 58.5225) / ((mo * mo + mr * mr + 6.5025) * (vo + vr + 58.5225))), 6) AS mean_ssim_8x8 FROM w GROUP BY label",
+    )
+
+
+def _codes(tail: str) -> Callable[[Spark], str]:
+    """Bits of the packed format, without entropy coding: run-and-size symbols, amplitudes, long runs, end of block."""
+
+    def text(d: Spark) -> str:
+        pad = lambda x, n: f"lpad({d.bits(x)}, CAST({n} AS INT), '0')"
+        return _sql(
+            d, ["scan_zigzag"],
+            f"{_pairs(d, 'scan_zigzag')}, sized AS (SELECT *, length({d.bits('CAST(abs(value) AS BIGINT)')}) AS category FROM pairs), "
+            "amp AS (SELECT *, CAST(CASE WHEN value >= 0 THEN value ELSE value + power(2, category) - 1 END AS BIGINT) AS amplitude FROM sized), "
+            f"code AS (SELECT *, repeat('11110000', CAST(zero_run {d.div} 16 AS INT)) || {pad('CAST((zero_run % 16) * 16 + category AS BIGINT)', 8)} || {pad('amplitude', 'category')} AS bits FROM amp), "
+            "per AS (SELECT vec_id, sum(length(bits)) AS bits, sum(zero_run + 1) AS last FROM code GROUP BY vec_id), "
+            "packed AS (SELECT b.vec_id, b.label, CAST(coalesce(per.bits, 0) + CASE WHEN coalesce(per.last, 0) < 63 THEN 8 ELSE 0 END AS BIGINT) AS bit_count FROM blocks b LEFT JOIN per ON b.vec_id = per.vec_id) " + tail,
+        )
+
+    return text
+
+
+def _with_pairs(tail: str) -> Callable[[Spark], str]:
+    return lambda d: _sql(d, ["scan_rank"], f"{_pairs(d)}, per AS (SELECT b.vec_id, b.label, count(p.value) AS n FROM blocks b LEFT JOIN pairs p ON b.vec_id = p.vec_id GROUP BY b.vec_id, b.label) {tail}")
+
+
+SIZE = "152 + 3 * count(*) + 3 * CAST(sum(n) AS BIGINT)"
+QUERIES: dict[str, Callable[[Spark], str]] = {
+    "level_shift": _array("shifted"),
+    "dct_cpu_rounded": lambda d: _sql(d, ["dct"], f"e AS ({_long(d, 'dct')}) SELECT vec_id, CAST(pos AS INT) AS pos, CAST(round(v * 1000) AS BIGINT) AS v FROM e"),
+    "quantise_cpu": _array("q"),
+    "scan_rank": _array("scan_rank"),
+    "scan_zigzag": _array("scan_zigzag"),
+    "rle_pairs": lambda d: _sql(d, ["scan_rank"], f"{_pairs(d)} SELECT vec_id, pair_idx, zero_run, value FROM pairs"),
+    "rle_pair_counts": _with_pairs("SELECT vec_id, n AS pairs FROM per"),
+    "rle_decode": lambda d: _sql(d, ["scan_rank"], f"{_pairs(d)} SELECT vec_id, CAST(sum(zero_run + 1) OVER (PARTITION BY vec_id ORDER BY pair_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS pos, value FROM pairs"),
+    "compressed_size_gsc1": _with_pairs(f"SELECT label AS image, {SIZE} AS bytes FROM per GROUP BY label"),
+    "compression_ratio": _with_pairs(f", z AS (SELECT label, 64 * count(*) AS raw, {SIZE} AS bytes FROM per GROUP BY label) SELECT label AS image, round(raw / CAST(bytes AS DOUBLE), 6) AS ratio FROM z"),
+    "payload_size": _with_pairs("SELECT label AS image, 3 * count(*) + 3 * CAST(sum(n) AS BIGINT) AS bytes FROM per GROUP BY label"),
+    "avg_pairs_per_block": _with_pairs("SELECT label AS image, round(avg(n), 6) AS pairs FROM per GROUP BY label"),
+    "zero_coeff_pct": lambda d: _sql(d, ["q"], f"e AS ({_long(d, 'q')}) SELECT label AS image, round(100.0 * sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS zero_percent FROM e GROUP BY label"),
+    "dequantise": _array("deq"),
+    "idct_pixels": _array("rec"),
+    "pixel_error_metrics": _metrics("SELECT image, pixels, mse, rmse, mae, mean_error, max_absolute_error, exact_percent, within_1_percent, within_2_percent FROM m"),
+    "psnr_snr": _metrics("SELECT image, psnr_db, snr_db FROM m"),
+    "psnr_band": _metrics("SELECT image, CASE WHEN psnr_db >= 40 THEN 'very high' WHEN psnr_db >= 30 THEN 'good' WHEN psnr_db >= 25 THEN 'acceptable' ELSE 'degraded' END AS band FROM m"),
+    "pooled_metrics": lambda d: _sql(d, ["rec"], f"{_pixel_errors(d)}, sums AS (SELECT {SUMS} FROM e) SELECT pixels, {DERIVED}, {PSNR} AS psnr_db, {SNR} AS snr_db FROM sums"),
+    "mean_finite_psnr": _metrics("SELECT round(avg(CASE WHEN psnr_db < CAST('inf' AS DOUBLE) THEN psnr_db END), 6) AS psnr_db FROM m"),
+    "psnr_extremes": _metrics(", r AS (SELECT image, psnr_db, row_number() OVER (ORDER BY psnr_db, image) AS low, row_number() OVER (ORDER BY psnr_db DESC, image) AS high FROM m WHERE psnr_db < CAST('inf' AS DOUBLE)) SELECT image, psnr_db, CASE WHEN low = 1 THEN 'lowest' ELSE 'highest' END AS which FROM r WHERE low = 1 OR high = 1"),
+    "aggregate_report_union": _metrics("SELECT CAST(image AS VARCHAR(20)) AS image, pixels, mse, 'ok' AS status FROM m UNION ALL SELECT 'AGGREGATE', CAST(sum(pixels) AS BIGINT), round(sum(squared_error) / CAST(sum(pixels) AS DOUBLE), 6), 'aggregate' FROM m"),
+    "missing_reconstruction": _metrics(", rec AS (SELECT image, mse FROM m WHERE image % 3 <> 0) SELECT m.image, rec.mse, CASE WHEN rec.image IS NULL THEN 'error' ELSE 'ok' END AS status FROM m LEFT JOIN rec ON m.image = rec.image"),
+    "ssim_8x8": _ssim,
+    "dct_stream_fixed": _array("fixed"),
+    "quantise_stream": _array("q_fixed"),
+    "cpu_vs_stream_diff": lambda d: _sql(d, ["q", "q_fixed"], "d AS (SELECT vec_id, label FROM blocks WHERE q <> q_fixed) SELECT label AS image, count(*) AS blocks FROM d GROUP BY label"),
+    "magnitude_category": _codes("SELECT vec_id, pair_idx, CAST(category AS INT) AS category FROM sized"),
+    "amplitude_code": _codes("SELECT vec_id, pair_idx, amplitude FROM amp"),
+    "ac_bit_string": _codes("SELECT vec_id, pair_idx, bits FROM code"),
+    "gsc2_size": _codes("SELECT label AS image, 152 + CAST(sum(4 + ceil(bit_count / 8.0)) AS BIGINT) AS bytes FROM packed GROUP BY label"),
+}
+
+
+def _query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("size(embedding) = 64")
+        return spark.sql(text(Spark()).replace("FROM embeddings", "FROM {embeddings}"), embeddings=vectors)
+
+    return run
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _query(text) for name, text in QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: text(Ansi()).replace("FROM embeddings)", "FROM embeddings WHERE len(embedding) = 64)") for name, text in QUERIES.items()}
