@@ -165,7 +165,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_group(capacity: int, level: int, last: bool):
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key, pdf):
         pdf = pdf.sort_values(["length", "id", "piece", "uid"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         n = pdf["length"].to_numpy()
         b = best_fit_decreasing(n, capacity)
