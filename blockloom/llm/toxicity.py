@@ -111,8 +111,8 @@ def _threshold(margin: np.ndarray, toxic: np.ndarray) -> float:
     return float(edge[best[gap[best].argmax()]])
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5) -> Net:
-    """Adagrad over batches. A fifth of the rows is kept apart from the filters, for the thresholds. Without both labels
+def fit(seen: list[tuple[np.ndarray, int]], toxic: np.ndarray, apart: np.ndarray, seed: int = 5) -> Net:
+    """seen: buckets and language of each text; apart: rows that are kept from the filters. Adagrad over batches; the rows apart set the thresholds. Without both labels
     every score is the smoothed share of toxic rows."""
     r = np.random.default_rng(seed)
     net = Net(
@@ -125,8 +125,6 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5) -> Net:
         net.base = float(np.log(share / (1 - share)))
         net.thresholds = {-2: 0.0}
         return net
-    seen = [words_of(t) for t in texts]
-    apart = np.array([zlib.crc32(t) % 5 == 0 for t in texts])
     use = np.flatnonzero(~apart)
     weight = np.where(toxic > 0, min(8.0, (1 - share) / share), 1.0)
     dense = [*net.filters, *net.bias, net.out]
@@ -185,8 +183,21 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 5) -> Net:
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Net:
     """A net from the labelled rows outside the held-out fifth, at most ``rows`` of them."""
-    got: pd.DataFrame = sample_texts(docs, labels, column, rows, id_col, text_col).select("id", "label", "text").toPandas().sort_values("id")
-    return fit([bytes(t) for t in got["text"]], (got["label"].to_numpy() >= 0.5).astype(np.float64))
+
+    def measure(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            seen = [words_of(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("label"), pa.array([x[0].astype(np.int32).tobytes() for x in seen], pa.binary()), pa.array([x[1] for x in seen], pa.int32()), pa.array([zlib.crc32(t) % 5 == 0 for t in texts])],
+                names=["id", "label", "words", "language", "apart"],
+            )
+
+    texts = sample_texts(docs, labels, column, rows, id_col, text_col).select("id", "label", "text")
+    kind = texts.schema["id"].dataType.simpleString()
+    got: pd.DataFrame = texts.mapInArrow(measure, f"id {kind}, label double, words binary, language int, apart boolean").toPandas().sort_values("id")
+    seen = [(np.frombuffer(w, dtype=np.int32).reshape(2, -1), int(x)) for w, x in zip(got["words"], got["language"])]
+    return fit(seen, (got["label"].to_numpy() >= 0.5).astype(np.float64), got["apart"].to_numpy(dtype=bool))
 
 
 def score_toxicity(docs: DataFrame, model: Net, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
