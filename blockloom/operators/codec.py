@@ -59,6 +59,18 @@ def dct_stream(d: Spark, x: str = "shifted") -> str:
     return d.let(d.literal(tables.fixed_basis()), "c", d.let(d.map(x, "z", f"CAST(z AS {d.long})"), "x0", d.let(one, "t", rounded)))
 
 
+def dct_fourk(d: Spark, x: str = "shifted") -> str:
+    """Fixed point with ordered rounding: first stage exact at 16 fraction bits; in the second, the running sum has 22 and
+    is rounded to even after each of its eight terms."""
+    one = d.map(d.range(64), "i", " + ".join(f"{a} * {b}" for a, b in _product(d, "c", "x0", True, False)))
+    terms = [f"{a} * {b}" for a, b in _product(d, "c", "t", False, False)]
+    out = "a7"
+    for k in range(7, -1, -1):
+        running = f"{d.at(f'a{k - 1}', 'i')} * 1024 + " if k else ""
+        out = d.let(d.map(d.range(64), "i", _half_even(d, f"({running}{terms[k]})", 10)), f"a{k}", out)
+    return d.let(d.literal(tables.fixed_basis()), "c", d.let(d.map(x, "z", f"CAST(z AS {d.long})"), "x0", d.let(one, "t", out)))
+
+
 def _clamp(x: str) -> str:
     return f"greatest(least({x}, 32767), -32768)"
 
@@ -76,6 +88,14 @@ def quantise_stream(d: Spark, x: str = "dct") -> str:
     return d.let(r, "r", d.let(x, "y", d.map(d.range(64), "i", f"CAST({_clamp(away)} AS {d.integer})")))
 
 
+def quantise_fourk(d: Spark, x: str = "fourk") -> str:
+    """By division: from 22 fraction bits to a ratio of 24, rounded down; halves of the ratio go away from zero. The step
+    is 10 at least, so no result leaves 16 bits."""
+    ratio = d.map(d.range(64), "i", f"({d.at('y', 'i')} * 4 - (({d.at('y', 'i')} * 4) % {d.at('w', 'i')} + {d.at('w', 'i')}) % {d.at('w', 'i')}) {d.div} {d.at('w', 'i')}")
+    rounded = d.map("r", "p", f"CAST(CASE WHEN p < 0 THEN -1 ELSE 1 END * {d.shift(f'abs(p) + {1 << 23}', 24)} AS {d.integer})")
+    return d.let(d.literal(tables.QUANT), "w", d.let(x, "y", d.let(ratio, "r", rounded)))
+
+
 def permute(d: Spark, table: list[int], x: str) -> str:
     return d.let(d.literal(table), "s", d.let(x, "y", d.map("s", "i", d.at("y", "i"))))
 

@@ -27,8 +27,10 @@ STEPS: dict[str, Callable[[Spark], str]] = {
     "rec": codec.restore,
     "fixed": codec.dct_stream,
     "q_fixed": lambda d: codec.quantise_stream(d, "fixed"),
+    "fourk": codec.dct_fourk,
+    "q_fourk": codec.quantise_fourk,
 }
-NEEDS = {"px": [], "shifted": ["px"], "dct": ["shifted"], "q": ["dct"], "scan_rank": ["q"], "scan_zigzag": ["q"], "deq": ["q"], "idct": ["deq"], "rec": ["idct"], "fixed": ["shifted"], "q_fixed": ["fixed"]}
+NEEDS = {"px": [], "shifted": ["px"], "dct": ["shifted"], "q": ["dct"], "scan_rank": ["q"], "scan_zigzag": ["q"], "deq": ["q"], "idct": ["deq"], "rec": ["idct"], "fixed": ["shifted"], "q_fixed": ["fixed"], "fourk": ["shifted"], "q_fourk": ["fourk"]}
 BASE = ["vec_id", "label"]
 
 
@@ -154,6 +156,9 @@ QUERIES: dict[str, Callable[[Spark], str]] = {
     "dct_stream_fixed": _array("fixed"),
     "quantise_stream": _array("q_fixed"),
     "cpu_vs_stream_diff": lambda d: _sql(d, ["q", "q_fixed"], "d AS (SELECT vec_id, label FROM blocks WHERE q <> q_fixed) SELECT label AS image, count(*) AS blocks FROM d GROUP BY label"),
+    "dct_fourk_fixed": _array("fourk"),
+    "quantise_fourk": _array("q_fourk"),
+    "cpu_vs_fourk_diff": lambda d: _sql(d, ["q", "q_fourk"], "d AS (SELECT vec_id, label FROM blocks WHERE q <> q_fourk) SELECT label AS image, count(*) AS blocks FROM d GROUP BY label"),
     "magnitude_category": _codes("SELECT vec_id, pair_idx, CAST(category AS INT) AS category FROM sized"),
     "amplitude_code": _codes("SELECT vec_id, pair_idx, amplitude FROM amp"),
     "ac_bit_string": _codes("SELECT vec_id, pair_idx, bits FROM code"),

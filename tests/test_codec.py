@@ -39,13 +39,31 @@ def test_fixed_basis_has_seven_magnitudes():
     assert sorted({abs(v) for v in tables.fixed_basis()}) == [6393, 12540, 18205, 23170, 27246, 30274, 32138]
 
 
+def test_ordered_rounding_equals_whole_numbers(spark):
+    def even(v, bits):
+        low, rest = v >> bits, v & ((1 << bits) - 1)
+        return low + (rest > 1 << (bits - 1) or (rest == 1 << (bits - 1) and low & 1))
+
+    x = np.random.default_rng(2).integers(-128, 128, (12, 64)).tolist()
+    c, d = tables.fixed_basis(), Spark()
+    df = spark.createDataFrame([(v,) for v in x], "shifted array<int>").selectExpr("shifted", f"{codec.dct_fourk(d)} AS fourk")
+    for row in df.selectExpr("shifted", "fourk", f"{codec.quantise_fourk(d)} AS q").collect():
+        for f in range(64):
+            u, w, s = f // 8, f % 8, 0
+            for k in range(8):
+                s = even((s << 10) + sum(c[u * 8 + r] * row.shifted[r * 8 + k] for r in range(8)) * c[w * 8 + k], 10)
+            assert row.fourk[f] == s
+            ratio = s * 4 // tables.QUANT[f]
+            assert row.q[f] == (1 if ratio >= 0 else -1) * ((abs(ratio) + (1 << 23)) >> 24)
+
+
 @pytest.mark.parametrize("pixel, cpu, stream", [(0, -64, -64), (255, 64, 63), (128, 0, 0)])
 def test_constant_blocks(spark, pixel, cpu, stream):
     d = Spark()
     df = spark.createDataFrame([([pixel] * 64,)], "px array<int>")
-    df = df.selectExpr(f"{codec.level_shift(d)} AS shifted").selectExpr(f"{codec.dct(d)} AS dct", f"{codec.dct_stream(d)} AS fixed")
-    a, b = df.selectExpr(f"{codec.quantise(d)} AS a", f"{codec.quantise_stream(d, 'fixed')} AS b").first()
-    assert (a[0], b[0]) == (cpu, stream) and not any(a[1:]) and not any(b[1:])
+    df = df.selectExpr(f"{codec.level_shift(d)} AS shifted").selectExpr(f"{codec.dct(d)} AS dct", f"{codec.dct_stream(d)} AS fixed", f"{codec.dct_fourk(d)} AS fourk")
+    a, b, c = df.selectExpr(f"{codec.quantise(d)} AS a", f"{codec.quantise_stream(d, 'fixed')} AS b", f"{codec.quantise_fourk(d)} AS c").first()
+    assert (a[0], b[0], c[0]) == (cpu, stream, stream) and not any(c[1:]) and not any(a[1:]) and not any(b[1:])
 
 
 def test_ordered_dct_is_bit_equal(spark):
