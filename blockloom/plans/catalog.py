@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions.dialect import Ansi, Spark
-from ..operators import codec
+from ..operators import codec, images
 
 #: (name, expression) steps; each can use the columns before it.
 STEPS: dict[str, Callable[[Spark], str]] = {
@@ -174,9 +175,41 @@ def _query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFr
     return run
 
 
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each whole text as an image 64 wide; bytes after its last full row are no pixels."""
+    px = F.encode("text", "UTF-8")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").cast("string").alias("image"), F.lit(64).cast("long").alias("width"), F.floor(F.octet_length(px) / 64).alias("height"), px.alias("pixels"))
+
+
+def tile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = "aggregate(transform(px, (x, k) -> CAST(x * (k + 1) AS BIGINT)), 0L, (s, x) -> s + x)"
+    return images.tile(_rasters(spark, sf_dir)).selectExpr("CAST(image AS BIGINT) AS doc_id", "block_id", "bx", "by AS block_row", "aggregate(px, 0L, (s, x) -> s + x) AS total", f"{weighted} AS weighted")
+
+
+TILE_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(range(0, len(h))) AS k, unnest(h) AS v, len(h) // 512 * 512 AS whole FROM d)
+SELECT doc_id, CAST(k // 512 * 8 + k % 64 // 8 AS BIGINT) AS block_id, CAST(k % 64 // 8 AS INT) AS bx, CAST(k // 512 AS INT) AS block_row,
+CAST(sum(CAST('0x' || v AS INT)) AS BIGINT) AS total, CAST(sum(CAST('0x' || v AS INT) * (k // 64 % 8 * 8 + k % 8 + 1)) AS BIGINT) AS weighted
+FROM p WHERE k < whole GROUP BY ALL"""
+
+
+def document_pairs(arithmetic: str, scan: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Whole encoder over the rasters of documents: number of pairs and bytes of each block, without a shuffle."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        encoded = images.encode(images.tile(_rasters(spark, sf_dir)), arithmetic, scan)
+        return encoded.selectExpr("CAST(image AS BIGINT) AS doc_id", "block_id", "dc", "size(pairs) AS pairs", "3 + 3 * size(pairs) AS bytes")
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(text) for name, text in QUERIES.items()}
+    out = {name: _query(text) for name, text in QUERIES.items()}
+    return out | {"tile_documents": tile_documents, "encode_documents_cpu": document_pairs("cpu", "rank"), "encode_documents_stream": document_pairs("stream", "rank")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text(Ansi()).replace("FROM embeddings)", "FROM embeddings WHERE len(embedding) = 64)") for name, text in QUERIES.items()}
+    out = {name: text(Ansi()).replace("FROM embeddings)", "FROM embeddings WHERE len(embedding) = 64)") for name, text in QUERIES.items()}
+    return out | {"tile_documents": TILE_SQL}
