@@ -111,3 +111,13 @@ def test_profiles(spark):
     rows = {r.stage: r for r in profile.stage_profile(times, totals).collect()}
     assert rows["other"].total_ms == 5 and rows["dct"].percent == 75 and rows["dct"].us_per_block == 1500
     assert profile.throughput(totals).first().images_per_s == 100
+
+
+@pytest.mark.parametrize("arithmetic, scan", [("cpu", "rank"), ("stream", "rank"), ("fourk", "zigzag")])
+def test_batches_equal_expressions(spark, arithmetic, scan):
+    noise = np.random.default_rng(3).integers(0, 256, (64, 64)).astype(np.uint8)
+    noise[:8, :8], noise[:8, 8:16], noise[:8, 16:24] = 0, 255, 128
+    df = spark.createDataFrame([("n", 64, 64, noise.tobytes()), ("s", 72, 40, raster(72, 40).tobytes())], "image string, width bigint, height bigint, pixels binary")
+    blocks = images.tile(df).cache()
+    a, b = (sorted(map(str, f(blocks, arithmetic, scan).collect())) for f in (images.encode, images.encode_sql))
+    assert a == b and len(a) == 64 + 45
