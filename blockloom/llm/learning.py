@@ -1,7 +1,11 @@
-"""A bounded sample of labelled texts, for classifiers that are trained on the driver."""
+"""A bounded sample of labelled texts, for classifiers that are trained on the driver, and filters by what they say."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +25,18 @@ def sample_texts(docs: DataFrame, labels: DataFrame, column: str, rows: int, id_
     ids = sample_ids(labels, column, rows, id_col)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return texts.join(F.broadcast(ids), "id").dropDuplicates(["id"])
+
+
+def keep_rows(docs: DataFrame, model, scores: Callable, kept: Callable[[np.ndarray], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is one to keep: each is decided where it lies, without a shuffle.
+
+    A null text is scored as an empty one. Rows that repeat are decided alike; an empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            texts = [t or b"" for t in b.column(text_col).cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array(kept(scores(shared.value, texts)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

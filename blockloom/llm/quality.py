@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import held_out, table
-from .learning import sample_texts
+from .learning import keep_rows, sample_texts
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 20_000
@@ -161,6 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
     return fit(x, (got["label"].to_numpy() >= 0.5).astype(np.float64))
 
 
+def scores(model: Trees, texts: list[bytes]) -> np.ndarray:
+    return model.score(np.array([statistics(t) for t in texts], dtype=np.float64).reshape(len(texts), len(NAMES)))
+
+
 def score_quality(docs: DataFrame, model: Trees, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, held_out, score, predicted.
 
@@ -172,13 +176,17 @@ def score_quality(docs: DataFrame, model: Trees, threshold: float = 0.3, id_col:
 
     def run(batches):
         for b in batches:
-            x = np.array([statistics(t) for t in b.column("text").to_pylist()], dtype=np.float64).reshape(b.num_rows, len(NAMES))
-            s = shared.value.score(x)
+            s = scores(shared.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows that score_quality would predict 1 for, as they are; see keep_rows."""
+    return keep_rows(docs, model, scores, lambda s: s >= threshold, text_col)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))

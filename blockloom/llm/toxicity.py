@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import held_out, table
-from .learning import sample_texts
+from .learning import keep_rows, sample_texts
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 8_000
@@ -200,6 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
     return fit(seen, (got["label"].to_numpy() >= 0.5).astype(np.float64), got["apart"].to_numpy(dtype=bool))
 
 
+def scores(net: Net, texts: list[bytes]) -> np.ndarray:
+    out = np.empty(len(texts))
+    for i, t in enumerate(texts):
+        ids, language = words_of(t)
+        out[i] = net.score(net.margin(ids), language)
+    return out
+
+
 def score_toxicity(docs: DataFrame, model: Net, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, held_out, score, predicted.
 
@@ -210,17 +218,18 @@ def score_toxicity(docs: DataFrame, model: Net, threshold: float = 0.5, id_col:
     slim = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
-        net = shared.value
         for b in batches:
-            s = np.empty(b.num_rows)
-            for i, t in enumerate(b.column("text").to_pylist()):
-                ids, language = words_of(t)
-                s[i] = net.score(net.margin(ids), language)
+            s = scores(shared.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: Net, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows that score_toxicity would predict 0 for, as they are; see keep_rows."""
+    return keep_rows(docs, model, scores, lambda s: s < threshold, text_col)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -1,6 +1,6 @@
 """The corpus pipeline: each stage takes (spark, docs, sf_dir) and hands a DataFrame on, written as Parquet and read again.
 
-Rows that repeat a doc_id are told apart by their texts; rows that repeat both go or stay together in the filters.
+The classifiers decide each row by its text, so rows that repeat a doc_id are decided apart.
 """
 
 from __future__ import annotations
@@ -15,22 +15,14 @@ from blockloom.llm import lines, minhash, packing, quality, toxicity
 from blockloom.llm._common import table, tokenizer_path
 
 
-def _decided(docs: DataFrame, score, kept) -> DataFrame:
-    """Score each text and keep rows. The classifiers are narrow, so rows are matched by what decides: the text."""
-    keyed = docs.withColumn("__key", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(7), F.col("text"))))
-    scored = score(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    gone = scored.filter(~kept).select(F.col("doc_id").alias("__gone")).distinct()
-    return keyed.join(gone, keyed["__key"] == gone["__gone"], "left_anti").drop("__key")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _decided(docs, lambda d: quality.score_quality(d, model), F.col("predicted") == 1)
+    return quality.keep_good(docs, model)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _decided(docs, lambda d: toxicity.score_toxicity(d, model), F.col("predicted") == 0)
+    return toxicity.keep_clean(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
