@@ -12,7 +12,6 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,9 +194,14 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
 
     texts = sample_texts(docs, labels, column, rows, id_col, text_col).select("id", "label", "text")
     kind = texts.schema["id"].dataType.simpleString()
-    got: pd.DataFrame = texts.mapInArrow(measure, f"id {kind}, label double, words binary, language int, apart boolean").toPandas().sort_values("id")
-    seen = [(np.frombuffer(w, dtype=np.int32).reshape(2, -1), int(x)) for w, x in zip(got["words"], got["language"])]
-    return fit(seen, (got["label"].to_numpy() >= 0.5).astype(np.float64), got["apart"].to_numpy(dtype=bool))
+    got = texts.mapInArrow(measure, f"id {kind}, label double, words binary, language int, apart boolean").toArrow()
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
+    # The words stay where Arrow has them: for long texts they are by far the most of what the driver holds.
+    words = [np.frombuffer(w.as_buffer() or b"", dtype=np.int32).reshape(2, -1) for w in got["words"]]
+    language = got["language"].to_numpy()
+    seen = [(words[i], int(language[i])) for i in order]
+    label, apart = got["label"].to_numpy()[order], got["apart"].to_numpy()[order]
+    return fit(seen, (label >= 0.5).astype(np.float64), apart.astype(bool))
 
 
 def scores(net: Net, texts: list[bytes]) -> np.ndarray:
