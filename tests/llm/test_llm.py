@@ -215,3 +215,15 @@ def test_html(spark):
     got = {r.page_id: r for r in htmltext.extract(pages, model).collect()}
     assert got[1].text == "T & U One two Three" and got[1].n_chars == 19 and got[2].text == ""
     assert htmltext.extract(pages.limit(0), model).count() == 0
+
+
+def test_filters_keep_what_the_scores_say(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    for module, score, keep, sign in ((quality, quality.score_quality, quality.keep_good, 1), (toxicity, toxicity.score_toxicity, toxicity.keep_clean, 0)):
+        model = module.train(docs, labels)
+        for rows in (docs, odd):
+            kept = keep(rows, model)
+            assert kept.schema == rows.schema
+            want = score(rows, model).filter(f"predicted = {sign}").select("doc_id").collect()
+            assert sorted(map(str, kept.select("doc_id").collect())) == sorted(map(str, want))
+        assert keep(none, model).count() == 0
