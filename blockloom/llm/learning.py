@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -27,6 +29,12 @@ def sample_texts(docs: DataFrame, labels: DataFrame, column: str, rows: int, id_
     return texts.join(F.broadcast(ids), "id").dropDuplicates(["id"])
 
 
+def give_back() -> None:
+    """Hand memory that training has freed back to the system, where the C library can; else the driver keeps it."""
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def keep_rows(docs: DataFrame, model, scores: Callable, kept: Callable[[np.ndarray], np.ndarray], text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score is one to keep: each is decided where it lies, without a shuffle.
 

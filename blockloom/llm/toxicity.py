@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import held_out, table
-from .learning import keep_rows, sample_texts
+from .learning import give_back, keep_rows, sample_texts
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 8_000
@@ -201,7 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
     language = got["language"].to_numpy()
     seen = [(words[i], int(language[i])) for i in order]
     label, apart = got["label"].to_numpy()[order], got["apart"].to_numpy()[order]
-    return fit(seen, (label >= 0.5).astype(np.float64), apart.astype(bool))
+    net = fit(seen, (label >= 0.5).astype(np.float64), apart.astype(bool))
+    del got, words, seen
+    give_back()
+    return net
 
 
 def scores(net: Net, texts: list[bytes]) -> np.ndarray:
