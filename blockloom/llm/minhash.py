@@ -273,18 +273,22 @@ def _by_block(pairs, key: list[str]):
     return run
 
 
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept, row (of the input row, any number).
 
+    ``row_col`` names a column of distinct longs that become ``row``, so that decisions can be joined to the rows; it has
+    to be stored, as the input is read more than once.
+
     Two texts are linked when 100 * common shingles >= percent * all shingles of both. component_id is the smallest id
     that links reach, and just one row of a component is kept: the first with that id. Null and empty texts and texts
     without words have no shingles and are linked with nothing; each is kept, with its own id. Null ids are never the
     smallest, unless a component has no other. An empty table gives an empty result; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    uid = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), uid.alias("uid"))
     base = base.withColumn("check", F.xxhash64("text"))
     kind = base.schema["id"].dataType.simpleString()
-    rows = cut(base.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_sketch(words), f"id {kind}, uid long, check long, n long, key binary, sig binary"))
+    rows = cut(base.select("id", "text", "check", "uid").mapInArrow(_sketch(words), f"id {kind}, uid long, check long, n long, key binary, sig binary"))
     # Of a class, the first row stands for all: its number is the class's, and its id and checksum find its text again.
     first = F.struct("uid", "id", "check", "n", "sig")
     classes = cut(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import lines, minhash, packing, quality, toxicity
-from blockloom.llm._common import table, tokenizer_path
+from blockloom.llm._common import cut, table, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +30,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    decided = minhash.near_dedup(docs, words=5, percent=80)
-    kept = decided.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
-    gone = decided.filter("NOT kept").groupBy(F.col("doc_id").alias("__gone")).agg(F.count("*").alias("__n"))
-    return docs.join(gone.join(kept, gone["__gone"] == kept["doc_id"], "left_anti").select("__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows that near_dedup keeps, as they are: each row is dropped or kept by its own number, so rows that repeat an
+    id, or have none, are decided apart. Texts without words all stay; an empty table stays empty."""
+    number = "__row"
+    while number.lower() in map(str.lower, docs.columns):
+        number += "_"
+    numbered = cut(docs.withColumn(number, F.monotonically_increasing_id()))
+    gone = minhash.near_dedup(numbered, words=5, percent=80, row_col=number).filter("NOT kept").select(F.col("row").alias(number))
+    return numbered.join(gone, number, "left_anti").drop(number)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
