@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from ._common import held_out
 
 
-def sample_ids(labels: DataFrame, column: str, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, label) of at most ``rows`` labelled rows outside the held-out fifth, those with the smallest hashes. Null ids
-    and labels are left out; where a document is labelled twice, the larger label counts."""
+def label_of(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, label) of the labelled rows outside the held-out fifth. Null ids and labels are left out; where a document is
+    labelled twice, the larger label counts."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(column).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(column).cast("double")).alias("label"))
+    return known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(column).cast("double")).alias("label"))
+
+
+def sample_ids(labels: DataFrame, column: str, rows: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, label) of at most ``rows`` rows of label_of, those with the smallest hashes."""
+    known = label_of(labels, column, id_col)
     return known.orderBy(F.xxhash64("id"), "id").limit(rows)
 
 

@@ -2,7 +2,8 @@
 
 Words and their first letters are hashed into one embedding table; filters of several widths run over the whole text and
 the largest response of each is what the output layer sees. The decision threshold is calibrated by language, which is
-guessed from the function words of the text.
+guessed from the function words of the text: all labelled rows that the filters have not learned from are scored where
+they lie and counted by language, label and margin.
 """
 
 from __future__ import annotations
@@ -13,18 +14,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import held_out, table
-from .learning import give_back, keep_rows, sample_texts
+from .learning import give_back, keep_rows, label_of, sample_texts
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 8_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 19, 8, (1, 2, 3), 12
 EPOCHS, RATE, BATCH, PREFIX = 5, 0.05, 16, 4
-#: Toxic rows of a language without which its threshold is the common one.
-LEAST_TOXIC = 12
+#: Rows of a language's rarer label that put its threshold half-way between the common one and its own best.
+HALF_WAY = 12
+#: Margins are counted in bins of this width, out to LIMIT on both sides.
+BIN, LIMIT = 0.02, 30.0
 #: Words that a worker remembers at most; the memory is emptied when it is full.
 REMEMBER = 250_000
 
@@ -99,17 +103,33 @@ class Net:
         return float(1 / (1 + np.exp(-np.clip(margin - self.thresholds.get(language, self.thresholds.get(-2, 0.0)), -30, 30))))
 
 
-def _threshold(margin: np.ndarray, toxic: np.ndarray) -> float:
-    """Half-way across the widest of the gaps where the fewest rows are on the wrong side."""
-    order = np.argsort(margin, kind="stable")
-    m, t = margin[order], toxic[order]
-    wrong = np.r_[0, np.cumsum(t)] + np.r_[(1 - t)[::-1].cumsum()[::-1], 0]  # below: toxic, from there on: not toxic
-    edge = np.r_[m[0] - 1, (m[1:] + m[:-1]) / 2, m[-1] + 1]
-    gap = np.r_[1, m[1:] - m[:-1], 1]
+def _threshold(low: np.ndarray, high: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """Half-way across the widest of the gaps where the fewest rows are on the wrong side. Rows are counted by intervals of
+    margins, a single row being an interval of its own; those that overlap are taken together."""
+    order = np.lexsort((high, low))
+    low, high, toxic, clean = low[order], high[order], toxic[order], clean[order]
+    at = np.flatnonzero(np.r_[True, low[1:] > np.maximum.accumulate(high)[:-1]])
+    low, high, toxic, clean = low[at], np.maximum.reduceat(high, at), np.add.reduceat(toxic, at), np.add.reduceat(clean, at)
+    wrong = np.r_[0, np.cumsum(toxic)] + np.r_[clean[::-1].cumsum()[::-1], 0]  # below: toxic, from there on: not toxic
+    edge = np.r_[low[0] - 1, (low[1:] + high[:-1]) / 2, high[-1] + 1]
+    gap = np.r_[1, low[1:] - high[:-1], 1]
     best = np.flatnonzero(wrong == wrong.min())
     return float(edge[best[gap[best].argmax()]])
 
 
+def thresholds_of(language: np.ndarray, low: np.ndarray, high: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> dict[int, float]:
+    """-2: the common threshold; and one of each language that has rows of both labels, drawn to the common one the more
+    the fewer rows its rarer label has. Empty if there are no rows of both labels at all."""
+    if not toxic.sum() or not clean.sum():
+        return {}
+    out = {-2: _threshold(low, high, toxic, clean)}
+    for lang in range(len(FUNCTION_WORDS)):
+        own = language == lang
+        if n := min(toxic[own].sum(), clean[own].sum()):
+            out[lang] = out[-2] + float(n / (n + HALF_WAY)) * (_threshold(low[own], high[own], toxic[own], clean[own]) - out[-2])
+    return out
+
+
 def fit(seen: list[tuple[np.ndarray, int]], toxic: np.ndarray, apart: np.ndarray, seed: int = 5) -> Net:
     """seen: buckets and language of each text; apart: rows that are kept from the filters. Adagrad over batches; the rows apart set the thresholds. Without both labels
     every score is the smoothed share of toxic rows."""
@@ -168,20 +188,16 @@ def fit(seen: list[tuple[np.ndarray, int]], toxic: np.ndarray, apart: np.ndarray
                 rows_power[ids] += (g * g).mean(axis=1)
                 net.table[ids] -= 4 * RATE * g / np.sqrt(rows_power[ids])[:, None]
     margin = np.array([net.margin(s[0]) for s in seen])
-    language = np.array([s[1] for s in seen])
     y = toxic.astype(np.int64)
     held = apart if y[apart].sum() and (1 - y[apart]).sum() else np.ones(len(y), dtype=bool)
-    net.thresholds = {-2: _threshold(margin[held], y[held])}
-    for lang in range(len(FUNCTION_WORDS)):
-        own = held & (language == lang)
-        if y[own].sum() >= LEAST_TOXIC:
-            net.thresholds[lang] = _threshold(margin[own], y[own])
+    language = np.array([s[1] for s in seen])
+    net.thresholds = thresholds_of(language[held], margin[held], margin[held], y[held], 1 - y[held])
     net.table = net.table.astype(np.float16)
     return net
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Net:
-    """A net from the labelled rows outside the held-out fifth, at most ``rows`` of them."""
+    """A net from the labelled rows outside the held-out fifth, at most ``rows`` of them; all others calibrate it."""
 
     def measure(batches):
         for b in batches:
@@ -202,11 +218,36 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
     seen = [(words[i], int(language[i])) for i in order]
     label, apart = got["label"].to_numpy()[order], got["apart"].to_numpy()[order]
     net = fit(seen, (label >= 0.5).astype(np.float64), apart.astype(bool))
+    learned = got.select(["id"]).filter(pa.compute.invert(got["apart"]))
     del got, words, seen
     give_back()
+    if net.out.any():
+        calibrate(net, docs, labels, learned, column, id_col, text_col)
     return net
 
 
+def calibrate(net: Net, docs: DataFrame, labels: DataFrame, learned: pa.Table, column: str, id_col: str, text_col: str) -> None:
+    """Set the thresholds by all labelled rows outside the held-out fifth, without those the filters learned from (their
+    ids, of a bounded number). Every document is scored where it lies, and only its id, language and margin are joined
+    to the labels; what comes to the driver is counts by language and bin. Without rows of both labels the thresholds
+    stay those of the sample."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    texts = docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+    def measure(batches):
+        for b in batches:
+            seen = [words_of(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x[1] for x in seen], pa.int32()), pa.array([shared.value.margin(x[0]) for x in seen], pa.float64())], names=["id", "language", "margin"])
+
+    margins = texts.mapInArrow(measure, f"id {texts.schema['id'].dataType.simpleString()}, language int, margin double")
+    known = label_of(labels, column, id_col).join(F.broadcast(docs.sparkSession.createDataFrame(learned)), "id", "left_anti")
+    place = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("margin"))) / BIN)
+    toxic = F.sum((F.col("label") >= 0.5).cast("long"))
+    counted = margins.join(known, "id").groupBy("language", place.alias("bin")).agg(F.min("margin").alias("low"), F.max("margin").alias("high"), toxic.alias("toxic"), (F.count("*") - toxic).alias("clean")).toArrow()
+    net.thresholds |= thresholds_of(*(counted[c].to_numpy() for c in ("language", "low", "high", "toxic", "clean")))
+    shared.destroy()
+
+
 def scores(net: Net, texts: list[bytes]) -> np.ndarray:
     out = np.empty(len(texts))
     for i, t in enumerate(texts):

@@ -2,10 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("blockloom.llm")
 import corpus_pipeline  # noqa: E402
+from blockloom.llm import toxicity  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(60)]
 LONG, NEAR, OTHER = " ".join(WORDS), " ".join([*WORDS[:-1], "x"]), " ".join(f"o{i}" for i in range(60))
@@ -23,3 +25,23 @@ def test_near_stage_decides_each_row(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == want
     assert all(rows[r["__row"]] == (r.doc_id, r.text) and r.source == f"s{r['__row']}" for r in kept)
     assert corpus_pipeline.near_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_each_language_has_a_threshold_of_its_own(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    # With 300 rows to learn from, the sample's fifth has too few toxic rows of any language; the other labels calibrate.
+    model = toxicity.train(docs, labels, rows=300)
+    assert set(model.thresholds) == {-2, 0, 1, 2, 3}
+
+
+def test_few_rows_move_a_threshold_less():
+    def shift(n):
+        margin, toxic = np.r_[np.full(n, 2.0), np.full(n, 4.0), np.full(1000, -4.0), np.full(1000, -2.0)], np.r_[np.zeros(n), np.ones(n), np.zeros(1000), np.ones(1000)].astype(int)
+        t = toxicity.thresholds_of(np.r_[np.ones(2 * n), np.zeros(2000)].astype(int), margin, margin, toxic, 1 - toxic)
+        return (t[1] - t[-2]) / (3 - t[-2])
+
+    assert abs(shift(12) - 0.5) < 1e-9 and 0 < shift(1) < shift(12) < shift(100) < 1
+    assert toxicity.thresholds_of(np.array([0, 0]), np.array([1.0, 2.0]), np.array([1.0, 2.0]), np.array([0, 0]), np.array([1, 1])) == {}
+    # Counts of two languages in one bin are not parted.
+    overlap = toxicity._threshold(np.array([0.0, 1.0, 1.1, 3.0]), np.array([0.5, 1.4, 1.3, 3.5]), np.array([0, 2, 0, 5]), np.array([9, 0, 1, 0]))
+    assert overlap == 0.75
