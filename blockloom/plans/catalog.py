@@ -176,12 +176,19 @@ def _query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFr
 
 
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes of each whole text as an image 64 wide; bytes after its last full row are no pixels."""
+    """The bytes of each text as an image 64 wide; bytes after its last full row are no pixels, and tiling drops what is left
+    of them after the last full 8 rows too: up to 511 bytes a text."""
     px = F.encode("text", "UTF-8")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(F.col("doc_id").cast("string").alias("image"), F.lit(64).cast("long").alias("width"), F.floor(F.octet_length(px) / 64).alias("height"), px.alias("pixels"))
 
 
+def _filled(rasters: DataFrame) -> DataFrame:
+    """The rasters with zero bytes up to a whole number of rows of blocks, so that tiling cuts nothing."""
+    rows = F.ceil(F.octet_length("pixels") / 512) * 8
+    return rasters.withColumns({"height": rows, "pixels": F.rpad("pixels", (rows * 64).cast("int"), F.lit(b"\x00"))})
+
+
 def tile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = "aggregate(transform(px, (x, k) -> CAST(x * (k + 1) AS BIGINT)), 0L, (s, x) -> s + x)"
     return images.tile(_rasters(spark, sf_dir)).selectExpr("CAST(image AS BIGINT) AS doc_id", "block_id", "bx", "by AS block_row", "aggregate(px, 0L, (s, x) -> s + x) AS total", f"{weighted} AS weighted")
@@ -196,10 +203,11 @@ FROM p WHERE k < whole GROUP BY ALL"""
 
 
 def document_pairs(arithmetic: str, scan: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Whole encoder over the rasters of documents: number of pairs and bytes of each block, without a shuffle."""
+    """Whole encoder over the rasters of documents: number of pairs and bytes of each block, without a shuffle. Every byte
+    of a text is in a block; null and empty texts have none."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        encoded = images.encode(images.tile(_rasters(spark, sf_dir)), arithmetic, scan)
+        encoded = images.encode(images.tile(_filled(_rasters(spark, sf_dir))), arithmetic, scan)
         return encoded.selectExpr("CAST(image AS BIGINT) AS doc_id", "block_id", "dc", "size(pairs) AS pairs", "3 + 3 * size(pairs) AS bytes")
 
     return run

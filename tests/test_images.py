@@ -7,6 +7,7 @@ import pytest
 
 from blockloom.functions import tables
 from blockloom.operators import images, profile
+from blockloom.plans import catalog
 from blockloom.sources import sinks
 from blockloom.sources.images import parse_gsc, parse_pgm, read_gsc, read_pgm
 from blockloom.streaming import ingest
@@ -121,3 +122,15 @@ def test_batches_equal_expressions(spark, arithmetic, scan):
     blocks = images.tile(df).cache()
     a, b = (sorted(map(str, f(blocks, arithmetic, scan).collect())) for f in (images.encode, images.encode_sql))
     assert a == b and len(a) == 64 + 45
+
+
+def test_documents_are_encoded_to_their_last_byte(spark, tmp_path):
+    texts = [None, "", "a", "é" * 40, "b" * 511, "c" * 512, "d" * 513, "e" * 1500]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [catalog.document_pairs(a, "rank")(spark, str(tmp_path)).collect() for a in ("cpu", "stream")]
+    for rows in got:
+        count = {i: sum(r.doc_id == i for r in rows) for i in range(len(texts))}
+        assert count == {i: 8 * -(-len((t or "").encode()) // 512) for i, t in enumerate(texts)}
+    px = [b"".join(r.pixels for r in catalog._filled(catalog._rasters(spark, str(tmp_path))).filter(f"image = '{i}'").collect()) for i in range(2, len(texts))]
+    assert all(p.rstrip(b"\0") == t.encode() and len(p) % 512 == 0 for p, t in zip(px, texts[2:]))
