@@ -10,6 +10,8 @@ _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 #: Elements by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript textarea title iframe svg object select".split())
+#: Those of them that reach to the end of the page if they aren't closed; of the others only the tag is left out then.
+TO_END = frozenset("script style textarea title iframe".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -30,6 +32,7 @@ class Page:
         pieces: list[str] = []
         linked = [0]
         at, n, holder = 0, len(source), 0
+        unclosed: set[str] = set()  # from here on
 
         def flush() -> None:
             nonlocal pieces
@@ -68,9 +71,14 @@ class Page:
                         break
                 continue
             if tag in RAW:
-                if not m[3].rstrip().endswith("/") or tag not in ("svg", "object"):
+                if tag not in unclosed and (not m[3].rstrip().endswith("/") or tag not in ("svg", "object")):
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    at = end.end() if end else n
+                    if end:
+                        at = end.end()
+                    elif tag in TO_END:
+                        at = n
+                    else:
+                        unclosed.add(tag)
                 continue
             if tag in VOID:
                 if tag in ("br", "hr"):
