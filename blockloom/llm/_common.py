@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (single-machine tests) is one made."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset one is made on a single machine only: elsewhere
+    executors would write to their own disks, and what is read back would miss rows."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="blockloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -31,11 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     iteration; what is read again has the sizes of its files. Rows can come back in other partitions.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with what is in it when the session ends."""
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -56,9 +69,45 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-@functools.lru_cache(maxsize=4)
+_remembered: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """What a Python worker keeps from task to task, for one operator at a time: the memory of another goes first."""
+    if owner not in _remembered:
+        _remembered.clear()
+        give_back()
+        _remembered[owner] = {}
+    return _remembered[owner]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can; else the process keeps it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+#: Rows that a text operator holds at once, beside the Arrow batch they come in.
+SLICE = 512
+
+
+def tidy(run):
+    """For mapInArrow: batches come in slices of SLICE rows, and freed memory goes back when the task ends, as the worker
+    lives on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+        finally:
+            give_back()
+
+    return wrapped
+
+
+@functools.lru_cache(maxsize=1)
 def tokenizer(path: str):
-    """One tokenizer for each Python worker; a batch runs on the task's own core."""
+    """A tokenizer; a batch runs on the task's own core."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, tokenizer, tokenizer_path
+from ._common import remembered, table, tidy, tokenizer, tokenizer_path
 
 #: Fragments that a worker remembers at most; the memory is emptied when it is full.
 REMEMBER = 250_000
@@ -128,10 +128,12 @@ class Codec:
         return b"".join(self.token_bytes[i] for i in ids if i in self.token_bytes).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     """One codec for each Python worker."""
-    return Codec(path)
+    kept = remembered("bpe")
+    if path not in kept:
+        kept[path] = Codec(path)
+    return kept[path]
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -165,7 +167,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     kind = slim.schema["id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return slim.mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))
+    return slim.mapInArrow(tidy(run), schema + (", ids array<int>, decoded string" if with_ids else ""))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

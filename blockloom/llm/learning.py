@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out
+from ._common import held_out, tidy
 
 
 def label_of(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
@@ -28,16 +26,12 @@ def sample_ids(labels: DataFrame, column: str, rows: int, id_col: str = "doc_id"
 
 
 def sample_texts(docs: DataFrame, labels: DataFrame, column: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, label, text) of the sample. Its size has a bound, so it is broadcast."""
+    """(id, label, text) of the sample. Its size has a bound, so it is broadcast. Of rows that repeat an id the text with
+    the smallest hash counts, so that the same tables give the same model."""
     ids = sample_ids(labels, column, rows, id_col)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return texts.join(F.broadcast(ids), "id").dropDuplicates(["id"])
-
-
-def give_back() -> None:
-    """Hand memory that training has freed back to the system, where the C library can; else the driver keeps it."""
-    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
-        trim(0)
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    return texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(one.alias("one")).select("id", "label", "one.text")
 
 
 def keep_rows(docs: DataFrame, model, scores: Callable, kept: Callable[[np.ndarray], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -52,4 +46,4 @@ def keep_rows(docs: DataFrame, model, scores: Callable, kept: Callable[[np.ndarr
             texts = [t or b"" for t in b.column(text_col).cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(kept(scores(shared.value, texts)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import cut, remembered, table, tidy
 from .components import components
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
@@ -36,14 +36,13 @@ BLOCK = 1024
 #: Candidates that a class tries before all of them are compared.
 BEST = 3
 #: Words that a worker remembers at most; the memory is emptied when it is full.
-REMEMBER = 250_000
+REMEMBER = 50_000
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_words: dict[bytes, int] = {}
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    known = _words
+    known = remembered("shingles")
     try:
         return np.array([known[w] for w in words], dtype=np.uint64)
     except KeyError:
@@ -84,9 +83,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     a, b = _functions()
     out = np.empty((len(sets), SIZE), dtype=np.uint16)
     at = 0
-    while at < len(sets):  # about a million shingles at once
+    while at < len(sets):  # as many shingles at once as a core's cache holds
         to, n = at, 0
-        while to < len(sets) and (to == at or n + len(sets[to]) <= 1 << 20):
+        while to < len(sets) and (to == at or n + len(sets[to]) <= 1 << 15):
             n += len(sets[to])
             to += 1
         x = np.concatenate(sets[at:to])
@@ -274,21 +273,22 @@ def _by_block(pairs, key: list[str]):
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row for each input row: id, n_shingles, component_id, kept, row (of the input row, any number).
+    """One row for each input row: id, n_shingles, component_id, kept, stays, row (of the input row, any number).
 
     ``row_col`` names a column of distinct longs that become ``row``, so that decisions can be joined to the rows; it has
     to be stored, as the input is read more than once.
 
     Two texts are linked when 100 * common shingles >= percent * all shingles of both. component_id is the smallest id
-    that links reach, and just one row of a component is kept: the first with that id. Null and empty texts and texts
-    without words have no shingles and are linked with nothing; each is kept, with its own id. Null ids are never the
+    that links reach; ``kept`` says that it is the row's own id, so rows that repeat that id are all kept. ``stays`` is true
+    for just one row of a component, the first with that id: a filter goes by it. Null and empty texts and texts without
+    words have no shingles and are linked with nothing; each is kept and stays, with its own id. Null ids are never the
     smallest, unless a component has no other. An empty table gives an empty result; other columns are ignored.
     """
     uid = F.col(row_col) if row_col else F.monotonically_increasing_id()
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), uid.alias("uid"))
     base = base.withColumn("check", F.xxhash64("text"))
     kind = base.schema["id"].dataType.simpleString()
-    rows = cut(base.select("id", "text", "check", "uid").mapInArrow(_sketch(words), f"id {kind}, uid long, check long, n long, key binary, sig binary"))
+    rows = cut(base.select("id", "text", "check", "uid").mapInArrow(tidy(_sketch(words)), f"id {kind}, uid long, check long, n long, key binary, sig binary"))
     # Of a class, the first row stands for all: its number is the class's, and its id and checksum find its text again.
     first = F.struct("uid", "id", "check", "n", "sig")
     classes = cut(
@@ -317,14 +317,14 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         need = nodes.select("node", "id", "check")
         texts = base.join(need, base["id"].eqNullSafe(need["id"]) & (base["check"] == need["check"])).select("node", "text")
         # Rows that repeat an id and a text give a class's set again; one is enough.
-        return cut(texts.dropDuplicates(["node"]).mapInArrow(shingles, "node long, set binary"))
+        return cut(texts.dropDuplicates(["node"]).mapInArrow(tidy(shingles), "node long, set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node"))
         for c in ("v", "u"):
             pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")), c)
-        return pairs.mapInArrow(_confirm(percent), "u long, v long")
+        return pairs.mapInArrow(tidy(_confirm(percent)), "u long, v long")
 
     links = cut(confirmed(likely(pivots)))
     roots = cut(components(links))
@@ -360,10 +360,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     answer = classes.join(named, "root").select("key", "component_id", "root")
     slim = rows.select("id", "uid", "n", "key")
     out = slim.join(answer, "key", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    # One row is kept where ids repeat: the first of the rows that have the component's id.
+    # One row stays where ids repeat: the first of the rows that have the component's id.
     keepers = out.filter("n > 0").filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("uid").alias("keeper"))
     out = out.join(keepers, "root", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("uid") == F.col("keeper"), F.lit(True)).alias("kept"), F.col("uid").alias("row"))
+    kept, stays = F.col("id").eqNullSafe(F.col("component_id")), F.coalesce(F.col("uid") == F.col("keeper"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), stays.alias("stays"), F.col("uid").alias("row"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

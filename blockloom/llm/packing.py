@@ -8,7 +8,6 @@ exchanged among fewer partitions, which pack again, until one round holds them a
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 
@@ -18,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table, tokenizer, tokenizer_path
+from ._common import cut, remembered, table, tidy, tokenizer, tokenizer_path
 from .bpe import as_letters
 
 CAPACITY = 2048
-#: Words that a worker remembers at most; the memory is emptied when it is full.
-REMEMBER = 250_000
+#: Words, and parts of words, that a worker remembers at most; a memory is emptied when it is full.
+REMEMBER, REMEMBER_PARTS = 250_000, 100_000
 #: Partitions that pool their poorly filled sequences in one of the next round.
 POOL = 8
 #: Pieces that a partition of the first round should hold.
@@ -51,7 +50,7 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         """The ids of one match; the parts of words recur more often than the words."""
         if part not in self.parts:
-            if len(self.parts) > REMEMBER:
+            if len(self.parts) > REMEMBER_PARTS:
                 self.parts.clear()
             merged = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
             self.parts[part] = np.array([x.id for x in merged], dtype="<u4").tobytes()
@@ -89,10 +88,12 @@ class WordIds:
             return out
 
 
-@functools.lru_cache(maxsize=4)
 def word_ids(path: str, end_id: int) -> WordIds:
     """One encoder for each Python worker."""
-    return WordIds(path, end_id)
+    kept = remembered("packing")
+    if (path, end_id) not in kept:
+        kept[path, end_id] = WordIds(path, end_id)
+    return kept[path, end_id]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -123,7 +124,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, uid long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    return slim.mapInArrow(tidy(run), f"id {kind}, uid long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, table
+from ._common import held_out, table, tidy
 from .learning import keep_rows, sample_texts
 
 #: Labelled rows that are learned from at most.
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
 
     texts = sample_texts(docs, labels, column, rows, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
-    got: pd.DataFrame = texts.select("id", "label", "text").mapInArrow(measure, f"id {kind}, label double, x array<double>").toPandas().sort_values("id")
+    got: pd.DataFrame = texts.select("id", "label", "text").mapInArrow(tidy(measure), f"id {kind}, label double, x array<double>").toPandas().sort_values("id")
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), len(NAMES))
     return fit(x, (got["label"].to_numpy() >= 0.5).astype(np.float64))
 
@@ -179,7 +179,7 @@ def score_quality(docs: DataFrame, model: Trees, threshold: float = 0.3, id_col:
             s = scores(shared.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
-    return slim.mapInArrow(run, f"`{id_col}` {slim.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(tidy(run), f"`{id_col}` {slim.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -18,8 +18,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, table
-from .learning import give_back, keep_rows, label_of, sample_texts
+from ._common import give_back, held_out, remembered, table, tidy
+from .learning import keep_rows, label_of, sample_texts
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 8_000
@@ -30,7 +30,7 @@ HALF_WAY = 12
 #: Margins are counted in bins of this width, out to LIMIT on both sides.
 BIN, LIMIT = 0.02, 30.0
 #: Words that a worker remembers at most; the memory is emptied when it is full.
-REMEMBER = 250_000
+REMEMBER = 50_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Frequent function words.
@@ -41,7 +41,6 @@ FUNCTION_WORDS = {
     "es": "el los las y del se por con para una su al lo como más pero sus este es".split(),
 }
 _LANGUAGE = {w: i for i, ws in enumerate(FUNCTION_WORDS.values()) for w in ws}
-_known: dict[str, tuple[int, int, int]] = {}
 
 
 def _entry(word: str) -> tuple[int, int, int]:
@@ -51,7 +50,7 @@ def _entry(word: str) -> tuple[int, int, int]:
 def words_of(text: bytes) -> tuple[np.ndarray, int]:
     """(2, number of words) buckets, and the number of the language whose function words are most."""
     words = _WORD.findall(text.decode("utf-8", "replace").lower())
-    known = _known
+    known = remembered("toxicity")
     if len(known) > REMEMBER:
         known.clear()
     try:
@@ -210,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
 
     texts = sample_texts(docs, labels, column, rows, id_col, text_col).select("id", "label", "text")
     kind = texts.schema["id"].dataType.simpleString()
-    got = texts.mapInArrow(measure, f"id {kind}, label double, words binary, language int, apart boolean").toArrow()
+    got = texts.mapInArrow(tidy(measure), f"id {kind}, label double, words binary, language int, apart boolean").toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     # The words stay where Arrow has them: for long texts they are by far the most of what the driver holds.
     words = [np.frombuffer(w.as_buffer() or b"", dtype=np.int32).reshape(2, -1) for w in got["words"]]
@@ -239,7 +238,7 @@ def calibrate(net: Net, docs: DataFrame, labels: DataFrame, learned: pa.Table, c
             seen = [words_of(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x[1] for x in seen], pa.int32()), pa.array([shared.value.margin(x[0]) for x in seen], pa.float64())], names=["id", "language", "margin"])
 
-    margins = texts.mapInArrow(measure, f"id {texts.schema['id'].dataType.simpleString()}, language int, margin double")
+    margins = texts.mapInArrow(tidy(measure), f"id {texts.schema['id'].dataType.simpleString()}, language int, margin double")
     known = label_of(labels, column, id_col).join(F.broadcast(docs.sparkSession.createDataFrame(learned)), "id", "left_anti")
     place = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("margin"))) / BIN)
     toxic = F.sum((F.col("label") >= 0.5).cast("long"))
@@ -270,7 +269,7 @@ def score_toxicity(docs: DataFrame, model: Net, threshold: float = 0.5, id_col:
             s = scores(shared.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
-    return slim.mapInArrow(run, f"`{id_col}` {slim.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(tidy(run), f"`{id_col}` {slim.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Net, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
