@@ -5,28 +5,31 @@ The classifiers decide each row by its text, so rows that repeat a doc_id are de
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import lines, minhash, packing, quality, toxicity
-from blockloom.llm._common import cut, table, tokenizer_path
+from blockloom.llm._common import cut, shared_path, table, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that op1's classifier, learned from ``documents`` and ``labels``, predicts 1 for, with their columns as they
+    are. Null texts are scored as empty ones, rows that repeat are decided alike, an empty table stays empty."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that op3's classifier predicts 0 for; otherwise as quality_stage."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All rows, later copies of repeated line runs deleted from their texts and ``n_chars``, where there is one, counted
+    anew. Null texts stay null, texts that lose every line become empty, rows that repeat id and text are one document."""
+    out = lines.line_dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +39,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     while number.lower() in map(str.lower, docs.columns):
         number += "_"
     numbered = cut(docs.withColumn(number, F.monotonically_increasing_id()))
-    gone = minhash.near_dedup(numbered, words=5, percent=80, row_col=number).filter("NOT kept").select(F.col("row").alias(number))
+    gone = minhash.near_dedup(numbered, words=5, percent=80, row_col=number).filter("NOT stays").select(F.col("row").alias(number))
     return numbered.join(gone, number, "left_anti").drop(number)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences, as best_fit_packing returns them."""
     return packing.best_fit_packing(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -58,10 +62,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over all documents; what a stage returns is written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockloom-")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{i}"
+        path = shared_path(spark, f"pipeline-{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
