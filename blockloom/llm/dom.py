@@ -1,12 +1,16 @@
-"""A forgiving HTML reader: elements as a tree, and text in blocks."""
+"""A forgiving HTML reader: elements as a tree, and text in blocks. Its time is linear in the page, however malformed."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A tag whose quoted values are closed, and one up to the next angle bracket. Neither ever goes back over what it read.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_OPENER = re.compile(r"</?[a-zA-Z]")
+_SHORT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_NAME = re.compile(r"(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 #: Elements by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript textarea title iframe svg object select".split())
@@ -17,22 +21,87 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 STOPS = frozenset("ul ol dl table article section div main body html nav aside footer header form".split())
+_ENDS = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
+
+
+class _Open:
+    """The open elements. Counts by name say whether a search through them will find something, so each search ends by
+    closing what it passed."""
+
+    def __init__(self, page: Page):
+        self.page, self.stack = page, [0]
+        self.blocks = [0]  # those that aren't inline
+        self.all: Counter[str] = Counter()
+        self.inline = [Counter()]  # names of the inline ones since each block
+        self.scope = [Counter()]  # names since each element of STOPS
+        self.links = 0
+
+    def push(self, e: int) -> None:
+        tag = self.page.tag[e]
+        self.stack.append(e)
+        self.all[tag] += 1
+        self.links += tag == "a"
+        if tag in INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.blocks.append(e)
+            self.inline.append(Counter())
+        if tag in STOPS:
+            self.scope.append(Counter())
+        else:
+            self.scope[-1][tag] += 1
+
+    def pop(self) -> str:
+        tag = self.page.tag[self.stack.pop()]
+        self.all[tag] -= 1
+        self.links -= tag == "a"
+        if tag in INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.blocks.pop()
+            self.inline.pop()
+        if tag in STOPS:
+            self.scope.pop()
+        else:
+            self.scope[-1][tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """By an end tag: up to the last such element, but an inline one only inside its block."""
+        if self.inline[-1][tag] if tag in INLINE else self.all[tag]:
+            while self.pop() != tag:
+                pass
+
+    def make_room(self, tag: str) -> None:
+        """What a start tag of a block closes: an open paragraph, and the items that it can't be in."""
+        shut = CLOSES.get(tag)
+        while (p := self.scope[-1]["p"]) or (shut and any(self.scope[-1][t] for t in shut)):
+            while True:
+                last = self.pop()
+                if (last == "p" and p) or (shut and last in shut):
+                    break
+            if not shut or last != "p":
+                return
 
 
 class Page:
     """Elements in page order: tag, parent, names (of class, id and role, lower case), and lengths of own text and of text
-    in links. blocks: (element, text), white space made single, references decoded."""
+    in links. blocks: (element, text), white space made single, references decoded.
+
+    A tag with a quote that nothing closes ends at the next angle bracket; one that nothing ends is text. Null bytes and
+    any nesting are read as they come."""
 
     __slots__ = ("tag", "parent", "names", "own", "linked", "blocks")
 
     def __init__(self, source: str):
         self.tag, self.parent, self.names = ["#page"], [-1], [""]
         self.blocks: list[tuple[int, str]] = []
-        stack, links = [0], 0
+        tree = _Open(self)
         pieces: list[str] = []
         linked = [0]
         at, n, holder = 0, len(source), 0
         unclosed: set[str] = set()  # from here on
+        whole_quotes = ends = True  # whether quotes, and tags, are still known to be closed further on
 
         def flush() -> None:
             nonlocal pieces
@@ -42,38 +111,54 @@ class Page:
                     self.blocks.append((holder, text))
                 pieces = []
 
-        while at < n:
-            m = _TAG.search(source, at)
-            text = source[at : m.start() if m else n]
+        def say(text: str) -> None:
+            nonlocal holder
             if text:
                 if not pieces:
-                    holder = next((e for e in reversed(stack) if self.tag[e] not in INLINE), 0)
+                    holder = tree.blocks[-1]
                 pieces.append(text)
-                if links:
+                if tree.links:
                     linked[holder] += len(text.strip())
-            if not m:
+
+        while at < n:
+            start, look, m = -1, at, None
+            while ends:
+                start = source.find("<", look)
+                if start < 0 or source.startswith(("<!", "<?"), start):
+                    break
+                m = _TAG.match(source, start) if whole_quotes else None
+                if not m and _OPENER.match(source, start):
+                    whole_quotes = False
+                    m = _SHORT.match(source, start)
+                    ends = m is not None
+                if m:
+                    break
+                look = start + 1
+            if not ends or start < 0:
+                say(source[at:])
                 break
-            at = m.end()
-            tag = m[2]
-            if tag is None:
+            say(source[at:start])
+            if not m:
+                comment = source.startswith("<!--", start)
+                end = source.find("-->" if comment else ">", start + 4 if comment else start)
+                if end < 0:
+                    if not comment:
+                        ends = False
+                        at = start
+                        continue
+                    break
+                at = end + (3 if comment else 1)
                 continue
-            tag = tag.lower()
+            at = m.end()
+            tag = m[2].lower()
             if m[1]:
                 if tag not in INLINE:
                     flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t == tag:
-                        links -= sum(self.tag[e] == "a" for e in stack[k:])
-                        del stack[k:]
-                        break
-                    if tag in INLINE and t not in INLINE:
-                        break
+                tree.close(tag)
                 continue
             if tag in RAW:
                 if tag not in unclosed and (not m[3].rstrip().endswith("/") or tag not in ("svg", "object")):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    if end:
+                    if end := _ENDS[tag].search(source, at):
                         at = end.end()
                     elif tag in TO_END:
                         at = n
@@ -88,24 +173,14 @@ class Page:
                 continue
             if tag not in INLINE:
                 flush()
-                shut = CLOSES.get(tag)
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t == "p" or (shut and t in shut):
-                        links -= sum(self.tag[e] == "a" for e in stack[k:])
-                        del stack[k:]
-                        if not shut or t != "p":
-                            break
-                    elif t in STOPS:
-                        break
+                tree.make_room(tag)
             e = len(self.tag)
             found = _NAME.findall(m[3]) if m[3] else ()
             self.tag.append(tag)
-            self.parent.append(stack[-1])
+            self.parent.append(tree.stack[-1])
             self.names.append(" ".join(a or b or c for a, b, c in found).lower())
             linked.append(0)
-            links += tag == "a"
-            stack.append(e)
+            tree.push(e)
         flush()
         self.own = [0] * len(self.tag)
         for e, text in self.blocks:

@@ -8,6 +8,7 @@ which ``labelled_pages`` writes from a seed: the tables hold no labels.
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, tidy
 from .dom import INLINE, Page
 
 #: Labelled pages that are learned from.
@@ -114,6 +115,8 @@ class TreeModel:
         page = Page(source)
         if not page.blocks:
             return ""
+        if len(page.tag) == 1:  # text without any element
+            return " ".join(t for _, t in page.blocks)
         m = self.marginals(page)
         return " ".join(t for e, t in page.blocks if m[e] > 0.5)
 
@@ -243,7 +246,7 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 400) -> TreeModel:
 def extract(pages: DataFrame, model: TreeModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each input row: id, url, text, n_chars (code points).
 
-    Null and empty html, and html without content, give an empty text. Ids and urls pass through as they are, null or
+    Null and empty html, and html without content, give an empty text; text without any element is all content. Ids and urls pass through as they are, null or
     repeated. Pages are read whole, one at a time; an empty table gives an empty result, other columns are ignored.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # of a fixed size
@@ -256,8 +259,14 @@ def extract(pages: DataFrame, model: TreeModel, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
-    return slim.mapInArrow(run, f"`{id_col}` {kinds['id']}, `{url_col}` {kinds['url']}, text string, n_chars long")
+    return slim.mapInArrow(tidy(run), f"`{id_col}` {kinds['id']}, `{url_col}` {kinds['url']}, text string, n_chars long")
+
+
+@functools.lru_cache(maxsize=1)
+def trained() -> TreeModel:
+    """The model that the seeded pages give, once a process."""
+    return train(labelled_pages())
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"), train(labelled_pages()))
+    return extract(table(spark, sf_dir, "pages"), trained())
