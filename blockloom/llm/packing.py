@@ -1,9 +1,10 @@
 """Best-fit packing with certified bounds.
 
-Texts become pieces of at most ``capacity`` tokens. Pieces are dealt to partitions; each packs its own by best-fit
-decreasing and computes a lower bound from dual feasible functions. Partitions that meet their bound, less what an
-exchange could still save, are certified; the poorly filled sequences of the others are taken apart and their documents
-exchanged among fewer partitions, which pack again, until one round holds them all.
+Texts become pieces of at most ``capacity`` tokens. Pieces are dealt to partitions of bounded size; each packs its own by
+best-fit decreasing and computes a lower bound from dual feasible functions. A partition that meets its bound is certified:
+no arrangement of its pieces has fewer sequences, and only its few emptiest are opened for others. One with a gap opens
+twice the gap more. The pieces of open sequences are exchanged and packed again in as many partitions as they fill, as long
+as the bound over all of them together says that a sequence can be saved and the round before has saved one.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from .bpe import as_letters
 CAPACITY = 2048
 #: Words, and parts of words, that a worker remembers at most; a memory is emptied when it is full.
 REMEMBER, REMEMBER_PARTS = 250_000, 100_000
-#: Partitions that pool their poorly filled sequences in one of the next round.
-POOL = 8
-#: Pieces that a partition of the first round should hold.
+#: Pieces that a partition of any round should hold.
 PER_PART = 20_000
+#: Sequences that a certified partition opens for the exchange.
+OPENED = 4
+#: Rounds at most.
+ROUNDS = 8
 
 
 #: Lower-case letters that normalisation leaves as they are, then punctuation other than the apostrophe: two matches of
@@ -128,11 +131,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The best of a family of dual feasible functions: lengths over capacity - k count as a whole sequence and those
-    under k as nothing, for every k up to half the capacity."""
-    if not len(lengths):
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """A bound on the sequences for so many pieces of each length, the best of a family of dual feasible functions: lengths
+    over capacity - k count as a whole sequence and those under k as nothing, for every k up to half the capacity."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
     total = np.cumsum(count * np.arange(capacity + 1))
     number = np.cumsum(count)
     k = np.arange(0, capacity // 2 + 1)
@@ -165,7 +171,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _pack_group(capacity: int, level: int, last: bool):
+def _pack_group(capacity: int, level: int):
     def pack(key, pdf):
         pdf = pdf.sort_values(["length", "id", "piece", "uid"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         n = pdf["length"].to_numpy()
@@ -173,49 +179,47 @@ def _pack_group(capacity: int, level: int, last: bool):
         fill = np.bincount(b, weights=n).astype(np.int64)
         bound = lower_bound(n, capacity)
         open_bins = np.zeros(len(fill), dtype=bool)
-        # Certified: no arrangement of this partition's own pieces has fewer sequences. The emptiest sequences still go on,
-        # as an exchange with others may fill them; so do as many as the gap to the bound, twice over.
-        if not last:
-            again = min(len(fill), 4 + 2 * (len(fill) - bound) + int(np.count_nonzero(fill < capacity * 0.9)))
-            emptiest = np.argsort(fill, kind="stable")[:again]
-            open_bins[emptiest[fill[emptiest] < capacity]] = True
+        emptiest = np.argsort(fill, kind="stable")[: OPENED + 2 * (len(fill) - bound)]
+        open_bins[emptiest[fill[emptiest] < capacity]] = True
         order = np.lexsort((np.arange(len(b)), b))
         offset = np.zeros(len(b), dtype=np.int64)
         run = np.cumsum(n[order]) - n[order]
         first = np.r_[True, b[order][1:] != b[order][:-1]]
         offset[order] = run - np.repeat(run[first], np.diff(np.r_[np.flatnonzero(first), len(b)]))
-        done = ~open_bins[b]
-        part = int(key[0])
-        out = pdf.assign(sequence_id=np.where(done, (np.int64(level) << 58) | (np.int64(part) << 36) | b, -1), offset=np.where(done, offset, -1), bins=len(fill), bound=bound)
-        return out
+        return pdf.assign(sequence_id=(np.int64(level) << 58) | (np.int64(key[0]) << 36) | b, offset=offset, bins=len(fill), bound=bound, open=open_bins[b])
 
     return pack
 
 
-def pack(pieces_df: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -> DataFrame:
-    """Adds sequence_id, offset, and bins and bound of the partition that packed the piece.
-
-    The rounds are few: their number is the logarithm of the partitions. Full pieces make sequences of their own.
-    """
-    spark = pieces_df.sparkSession
-    n = pieces_df.filter(F.col("length") < capacity).count()
-    parts = parts or max(1, min(-(-n // PER_PART), 1 << 20))
-    todo = pieces_df.filter(F.col("length") < capacity)
+def pack(pieces_df: DataFrame, capacity: int = CAPACITY, per_part: int = PER_PART) -> DataFrame:
+    """Adds sequence_id, offset, and bins and bound of the partition that packed the piece. Full pieces make sequences of
+    their own. No task of any round holds more than about ``per_part`` pieces; what the driver sees of a round is the
+    number of pieces by length."""
+    columns = [*pieces_df.columns, "sequence_id", "offset", "bins", "bound"]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     whole = pieces_df.filter(F.col("length") >= capacity)
-    done = [whole.withColumns({"sequence_id": (F.lit(31).cast("long") * F.lit(1 << 58)).bitwiseOR(F.monotonically_increasing_id()), "offset": F.lit(0).cast("long"), "bins": F.lit(1).cast("long"), "bound": F.lit(1).cast("long")})]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces_df.schema)
-    level = 0
-    while True:
-        last = parts <= 1
-        part = F.pmod(F.xxhash64(F.lit(level), "uid", "piece"), F.lit(parts)).cast("int") if not last else F.lit(0)
-        packed = todo.withColumn("part", part).groupBy("part").applyInPandas(_pack_group(capacity, level, last), f"{fields}, part int, sequence_id long, offset long, bins long, bound long")
-        packed = cut(packed.drop("part"))
-        done.append(packed.filter(F.col("sequence_id") >= 0))
-        if last:
+    done = [whole.withColumns({"sequence_id": (F.lit(31).cast("long") * F.lit(1 << 58)).bitwiseOR(F.monotonically_increasing_id()), "offset": none, "bins": one, "bound": one})]
+    todo = pieces_df.filter(F.col("length") < capacity)
+    n, before, held = todo.count(), None, None
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces_df.schema)
+    for level in range(ROUNDS):
+        parts = max(1, -(-n // per_part))
+        part = F.pmod(F.xxhash64(F.lit(level), "uid", "piece"), F.lit(parts)).cast("int")
+        packed = todo.select(*pieces_df.columns, part.alias("part")).groupBy("part").applyInPandas(_pack_group(capacity, level), f"{fields}, part int, sequence_id long, offset long, bins long, bound long, open boolean")
+        packed = cut(packed)
+        is_first, is_open = (F.col("offset") == 0).cast("long"), F.col("open").cast("long")
+        sums = packed.groupBy("length").agg(F.sum(is_first).alias("sequences"), F.sum(is_open).alias("pieces"), F.sum(is_first * is_open).alias("opened")).toPandas()  # a row for each length
+        sequences, opened, n = (int(sums[c].sum()) for c in ("sequences", "opened", "pieces"))
+        if before is not None and sequences >= before:  # nothing saved: the packing before stays
+            break
+        count = np.zeros(capacity + 1, dtype=np.int64)
+        count[sums["length"].to_numpy()] = sums["pieces"].to_numpy()
+        held, before = packed, opened
+        if parts == 1 or opened <= bound_of(count, capacity) or level == ROUNDS - 1:
             break
-        todo = packed.filter(F.col("sequence_id") < 0).drop("sequence_id", "offset", "bins", "bound")
-        parts = -(-parts // POOL) if parts > POOL else 1
-        level += 1
+        done.append(packed.filter("NOT open").select(*columns))
+        todo = held = packed.filter("open")
+    done.append(held.select(*columns))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
