@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, remembered, table, tidy, tokenizer, tokenizer_path
+from ._common import cut, remembered, shuffle_partitions, table, tidy, tokenizer, tokenizer_path
 from .bpe import as_letters
 
 CAPACITY = 2048
@@ -191,6 +191,20 @@ def _pack_group(capacity: int, level: int):
     return pack
 
 
+def _dealt(todo: DataFrame, parts: int) -> DataFrame:
+    """With a column ``part``. Pieces are ranked by length over all partitions and dealt in turn, so that each part has its
+    share of every length: parts with too many long or short pieces would lose sequences that only an exchange saves."""
+    if parts == 1:
+        return todo.withColumn("part", F.lit(0))
+    order = ["length", F.xxhash64("uid", "piece"), "uid", "piece"]
+    ranged = todo.repartitionByRange(shuffle_partitions(todo.sparkSession), *order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumns({"at": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    counts = sorted((r["at"], r["count"]) for r in ranged.groupBy("at").count().collect())  # one number for each partition
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    firsts = todo.sparkSession.createDataFrame([(at, k) for (at, _), k in zip(counts, before)], "at int, before long")
+    return ranged.join(F.broadcast(firsts), "at").withColumn("part", F.pmod(F.col("before") + F.col("place"), F.lit(parts)).cast("int")).drop("at", "place", "before")
+
+
 def pack(pieces_df: DataFrame, capacity: int = CAPACITY, per_part: int = PER_PART) -> DataFrame:
     """Adds sequence_id, offset, and bins and bound of the partition that packed the piece. Full pieces make sequences of
     their own. No task of any round holds more than about ``per_part`` pieces; what the driver sees of a round is the
@@ -204,8 +218,7 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY, per_part: int = PER_PAR
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces_df.schema)
     for level in range(ROUNDS):
         parts = max(1, -(-n // per_part))
-        part = F.pmod(F.xxhash64(F.lit(level), "uid", "piece"), F.lit(parts)).cast("int")
-        packed = todo.select(*pieces_df.columns, part.alias("part")).groupBy("part").applyInPandas(_pack_group(capacity, level), f"{fields}, part int, sequence_id long, offset long, bins long, bound long, open boolean")
+        packed = _dealt(todo.select(*pieces_df.columns), parts).select(*pieces_df.columns, "part").groupBy("part").applyInPandas(_pack_group(capacity, level), f"{fields}, part int, sequence_id long, offset long, bins long, bound long, open boolean")
         packed = cut(packed)
         is_first, is_open = (F.col("offset") == 0).cast("long"), F.col("open").cast("long")
         sums = packed.groupBy("length").agg(F.sum(is_first).alias("sequences"), F.sum(is_open).alias("pieces"), F.sum(is_first * is_open).alias("opened")).toPandas()  # a row for each length

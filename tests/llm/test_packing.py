@@ -27,7 +27,7 @@ def test_no_task_gets_more_than_its_share(spark, low, high, monkeypatch):
     cuts = []
     monkeypatch.setattr(packing, "cut", lambda df, real=packing.cut: cuts.append(real(df)) or cuts[-1])
     got = packed(spark, lengths, 2048, 5_000)
-    most = [c.groupBy("part").count().agg({"count": "max"}).first()[0] for c in cuts]
+    most = [c.groupBy("part").count().agg({"count": "max"}).first()[0] for c in cuts if "part" in c.columns]
     assert most and max(most) <= 1.1 * 5_000, most
     assert check(got, lengths, 2048) <= 1.01 * packing.lower_bound(lengths, 2048)
 
