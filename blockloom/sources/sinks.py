@@ -3,38 +3,74 @@
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions import tables
+from ..operators.batches import SLOTS, Pairs
 
 
-def _little(x: str, size: int) -> str:
-    """Hex of the low bytes of a whole number, lowest first."""
-    return " || ".join(f"lpad(hex(shiftright(CAST({x} AS BIGINT), {8 * k}) & 255), 2, '0')" for k in range(size))
+def _whole(blocks: DataFrame, columns: list[str], build, magic: bytes) -> DataFrame:
+    """(image, content): header and blocks in order. The blocks of one image meet in one task, as one file holds them.
+    The header has the image's size twice, as the format's writers do."""
+    grouped = blocks.groupBy("image", "width", "height").agg(F.array_sort(F.collect_list(F.struct("block_id", *columns))).alias("b"))
 
+    def run(batches):
+        for b in batches:
+            out = []
+            for w, h, list_ in zip(b.column("width").to_pylist(), b.column("height").to_pylist(), b.column("b")):
+                fields = [list_.values.field(c) for c in columns]
+                body = build(*fields)
+                out.append(magic + struct.pack("<5I64H", w, h, w, h, len(list_), *tables.QUANT) + body)
+            yield pa.RecordBatch.from_arrays([b.column("image"), pa.array(out, pa.binary())], names=["image", "content"])
 
-def _whole(blocks: DataFrame, magic: str, body: str) -> DataFrame:
-    """(image, content): header and blocks in order. The blocks of one image meet in one task, as one file holds them."""
-    q = "".join(f"{v & 255:02X}{v >> 8:02X}" for v in tables.QUANT)
-    grouped = blocks.groupBy("image", "width", "height").agg(F.expr(f"array_sort(collect_list(struct(block_id, {body} AS body)))").alias("b"))
-    sizes = " || ".join(_little(x, 4) for x in ("width", "height", "width", "height", "size(b)"))
-    return grouped.select("image", F.expr(f"unhex('{magic.encode().hex()}' || {sizes} || '{q}' || array_join(transform(b, x -> x.body), ''))").alias("content"))
+    return grouped.mapInArrow(run, "image string, content binary")
+
+
+def _shorts(out: np.ndarray, at: np.ndarray, v: np.ndarray) -> None:
+    out[at], out[at + 1] = v & 255, (v >> 8) & 255
+
+
+def _first_format(dc, pairs) -> bytes:
+    p = Pairs.of_arrow(pairs)
+    if (p.count > SLOTS).any():
+        raise ValueError("a block has over 63 pairs")
+    n, block = len(dc), p.block
+    out = np.zeros(3 * n + 3 * len(p.run), dtype=np.uint8)
+    starts = 3 * np.arange(n) + 3 * p.offsets[:-1]
+    _shorts(out, starts, dc.to_numpy(zero_copy_only=False).astype(np.int64))
+    out[starts + 2] = p.count
+    at = starts[block] + 3 + 3 * p.index
+    out[at] = p.run
+    _shorts(out, at + 1, p.value)
+    return out.tobytes()
+
+
+def _second_format(dc, bits, ac) -> bytes:
+    heads = np.empty((len(dc), 2), dtype="<u2")
+    heads[:, 0], heads[:, 1] = dc.to_numpy(zero_copy_only=False).astype(np.int64) & 65535, bits.to_numpy(zero_copy_only=False)
+    data = ac.to_pylist()
+    if any(len(d) != -(-int(n) // 8) for d, n in zip(data, heads[:, 1])):
+        raise ValueError("a block's bytes don't fit its bits")
+    return b"".join(x for head, d in zip(heads, data) for x in (head.tobytes(), d))
 
 
 def gsc1_files(encoded: DataFrame) -> DataFrame:
-    """From (image, width, height, block_id, dc, pairs): 152 bytes of header and 3 + 3 n bytes a block."""
-    pair = f"{_little('p.zero_run', 1)} || {_little('p.value', 2)}"
-    return _whole(encoded, "GSC1", f"{_little('dc', 2)} || {_little('size(pairs)', 1)} || array_join(transform(pairs, p -> {pair}), '')")
+    """From (image, width, height, block_id, dc, pairs): 152 bytes of header and 3 + 3 n bytes a block. A block of over 63
+    pairs ends the query."""
+    return _whole(encoded, ["dc", "pairs"], _first_format, b"GSC1")
 
 
 def gsc2_files(packed: DataFrame) -> DataFrame:
     """From (image, width, height, block_id, dc, bit_count, ac): 4 bytes a block before its bits."""
-    return _whole(packed, "GSC2", f"{_little('dc', 2)} || {_little('bit_count', 2)} || hex(ac)")
+    return _whole(packed, ["dc", "bit_count", "ac"], _second_format, b"GSC2")
 
 
 def pgm_files(images: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def test_query_matches_sql(spark, name):
     got = catalog.queries()[name](spark, SF)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "events"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.sql(catalog.oracle_sql()[name])
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
@@ -96,3 +97,18 @@ def test_documents_encode_as_whole_numbers_say(spark):
             assert got[doc.doc_id, k] == (q[0], np.count_nonzero(q[1:]))
             seen += 1
     assert seen > 50
+
+
+def test_odd_vectors(spark, tmp_path):
+    """Vectors of other lengths, or with null or NaN, are no blocks; repeated and null ids are blocks apart."""
+    r = np.random.default_rng(4)
+    good = [(1, r.normal(0, 0.2, 64).tolist(), 0), (1, r.normal(0, 0.2, 64).tolist(), 0), (None, r.normal(0, 0.2, 64).tolist(), None), (2, [float("inf"), -float("inf")] * 32, 1), (3, [0.0] * 64, 1)]
+    bad = [(4, [0.1] * 3, 0), (5, None, 0), (6, [], 2), (7, [0.1] * 63 + [None], 1), (8, [float("nan")] * 64, 1)]
+    spark.createDataFrame(good + bad, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name, sql in catalog.oracle_sql().items():
+        if "FROM embeddings" in sql and "fourk" not in name:
+            got, want = catalog.queries()[name](spark, str(tmp_path)), con.sql(sql)
+            assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall()), name
+    assert "Exchange" not in catalog.queries()["rle_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()

@@ -4,10 +4,11 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.functions import tables
 from blockloom.operators import images, profile
-from blockloom.plans import catalog
+from blockloom.plans import catalog, programs
 from blockloom.sources import sinks
 from blockloom.sources.images import parse_gsc, parse_pgm, read_gsc, read_pgm
 from blockloom.streaming import ingest
@@ -42,7 +43,8 @@ def test_pgm_headers():
 
 def test_gsc_rejections():
     good = b"GSC1" + HEAD + struct.pack("<hB", 3, 1) + struct.pack("<Bh", 62, -5)
-    assert parse_gsc(good + b"more")[1][0][1].tolist() == [(62, -5)]
+    head, blocks = parse_gsc(good + b"more")
+    assert (blocks.dc.tolist(), blocks.pairs.run.tolist(), blocks.pairs.value.tolist()) == ([3], [62], [-5]) and head["qmatrix"] == tables.QUANT
     bad = [b"GSC9" + good[4:], good[:100], good[:-1], good[:153], b"GSC1" + HEAD + struct.pack("<hB", 0, 64) + bytes(192), b"GSC1" + HEAD + struct.pack("<hB", 0, 1) + struct.pack("<Bh", 63, 1)]
     bad += [b"GSC1" + struct.pack("<5I64H", *size, *tables.QUANT) + good[152:] for size in ((0, 8, 8, 8, 1), (8, 8, 12, 8, 1), (16, 8, 8, 8, 1), (8, 8, 8, 8, 2))]
     bad.append(b"GSC1" + struct.pack("<5I64H", 8, 8, 8, 8, 1, 0, *tables.QUANT[1:]) + good[152:])
@@ -132,5 +134,123 @@ def test_documents_are_encoded_to_their_last_byte(spark, tmp_path):
     for rows in got:
         count = {i: sum(r.doc_id == i for r in rows) for i in range(len(texts))}
         assert count == {i: 8 * -(-len((t or "").encode()) // 512) for i, t in enumerate(texts)}
-    px = [b"".join(r.pixels for r in catalog._filled(catalog._rasters(spark, str(tmp_path))).filter(f"image = '{i}'").collect()) for i in range(2, len(texts))]
+    px = [b"".join(r.pixels for r in catalog._rasters(spark, str(tmp_path)).filter(f"image = '{i}'").collect()) for i in range(2, len(texts))]
     assert all(p.rstrip(b"\0") == t.encode() and len(p) % 512 == 0 for p, t in zip(px, texts[2:]))
+
+
+def pairs_frame(spark, blocks):
+    """blocks: (dc, [(zero_run, value)])."""
+    rows = [("i", 8, 8, k, dc, pairs) for k, (dc, pairs) in enumerate(blocks)]
+    return spark.createDataFrame(rows, "image string, width bigint, height bigint, block_id bigint, dc int, pairs array<struct<zero_run: int, value: int>>")
+
+
+def bits_one_by_one(pairs):
+    """The bits of a block, written out; None after a value that has no code."""
+    out, last = "", 0
+    for run, value in pairs:
+        out += "11110000" * min(3, run // 16)
+        size = abs(value).bit_length()
+        if not 0 < size <= 15:
+            return out, 1
+        low = value if value >= 0 else value + (1 << size) - 1
+        out += f"{run % 16:04b}{size:04b}{low:0{size}b}"
+        last += run + 1
+    return out + ("00000000" if last < 63 else ""), 0
+
+
+def test_bits_against_writing_them_out(spark):
+    r = np.random.default_rng(6)
+    blocks = [(0, []), (-5, [(62, -1)]), (7, [(0, 32767)] * 63), (1, [(17, -32767), (40, 2)]), (2, [(3, 5), (1, -32768), (0, 4)]), (3, [(0, 0)])]
+    for _ in range(60):
+        scanned = np.where(r.random(64) < r.random(), r.integers(-400, 400, 64), 0)
+        at = np.flatnonzero(scanned[1:]) + 1
+        blocks.append((int(scanned[0]), [(int(k - p - 1), int(scanned[k])) for p, k in zip([0, *at], at)]))
+    packed = images.pack(pairs_frame(spark, blocks)).orderBy("block_id").collect()
+    for row, (_, pairs) in zip(packed, blocks):
+        bits, status = bits_one_by_one(pairs)
+        assert (row.bit_count, row.status) == (len(bits), status)
+        assert "".join(f"{x:08b}" for x in row.ac) == bits.ljust(-(-len(bits) // 8) * 8, "0")
+    good = images.unpack(images.pack(pairs_frame(spark, blocks)).filter("status = 0")).collect()
+    assert all([tuple(p) for p in g.pairs] == blocks[g.block_id][1] for g in good) and len(good) == len(blocks) - 2
+    status = images.image_status(images.pack(pairs_frame(spark, blocks))).first()
+    assert status.status == 1 and status.bytes == 152 + sum(4 + len(p.ac) for p in packed)
+    assert images.without_faults(images.pack(pairs_frame(spark, blocks))).count() == 0
+
+
+def test_pairs_that_leave_their_block(spark):
+    blocks = [(1, [(63, 1)]), (2, [(0, 1)] * 64), (3, [(60, 1), (5, 1)]), (4, [(2, 9)])]
+    frame = pairs_frame(spark, blocks).withColumn("padded_width", F.lit(8).cast("long")).withColumn("qmatrix", F.array(*map(F.lit, tables.QUANT)))
+    assert [r.status for r in images.pack(frame).orderBy("block_id").collect()] == [4, 4, 4, 0]
+    assert [r.rec is None for r in images.decode(frame).orderBy("block_id").collect()] == [True, True, True, False]
+    with pytest.raises(Exception, match="63 pairs"):
+        images.pair_total(frame).collect()
+    with pytest.raises(Exception, match="63 pairs"):
+        sinks.gsc1_files(frame).collect()
+    cut = spark.createDataFrame([("i", 8, 8, 0, 0, 12, bytes([0x0F, 0xF0]))], "image string, width bigint, height bigint, block_id bigint, dc int, bit_count int, ac binary")
+    assert images.unpack(cut).first().pairs is None
+
+
+def test_sizes_of_images_that_are_no_multiples_of_8(spark):
+    df = spark.createDataFrame([("a", 12, 10, raster(12, 10).tobytes())], "image string, width bigint, height bigint, pixels binary")
+    sizes = [struct.unpack_from("<5I", sinks.gsc1_files(images.encode(images.tile(df, t))).first().content, 4) for t in (False, True)]
+    assert sizes == [(12, 10, 12, 10, 1), (8, 8, 8, 8, 1)]
+
+
+def test_a_header_of_blanks_takes_no_time():
+    import time
+
+    for bad in (b"P5" + b" " * 1_000_000, b"P5" + b"#\n" * 300_000, b"P5 " + b"# \t" * 300_000):
+        start = time.perf_counter()
+        with pytest.raises(ValueError):
+            parse_pgm(bad)
+        assert time.perf_counter() - start < 1
+
+
+def test_one_size_only(spark, folder):
+    rows = {r.image: r.error for r in read_pgm(spark, str(folder), size=(24, 16)).collect()}
+    assert rows["a.pgm"] is None and "24 by 16" in rows["b c+d.PGM"]
+
+
+def test_programs(spark, folder, tmp_path):
+    gsc, pgm, csv = (str(tmp_path / x) for x in ("gsc", "pgm", "csv"))
+    made = {r.image: r for r in programs.compress(spark, str(folder), gsc, suffix="_stream.gsc").collect()}
+    assert made["bad.pgm"].status == "error" and made["a.pgm"].raw_bytes == 384 and made["a.pgm"].compressed_bytes == (tmp_path / "gsc" / "a_stream.gsc").stat().st_size
+    back = {r.image: r for r in programs.decompress(spark, gsc, pgm).collect()}
+    assert back["a_stream.gsc"].reconstructed_bytes == (tmp_path / "pgm" / "a_stream.pgm").stat().st_size
+    done = programs.compare(spark, str(folder), pgm, csv).first()
+    assert (done.images_found, done.succeeded, done.failed, done.exit_code) == (2, 1, 1, 1) and done.lowest_image == done.highest_image == "a.pgm" and done.pixels == 384
+    assert len(next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()) == 4
+    four = {r.image: r.status for r in programs.compress(spark, str(folder), str(tmp_path / "four"), "fourk", "_four_kernel.gsc").collect()}
+    assert four["a.pgm"] == "ok" and (tmp_path / "four" / "a_four_kernel.gsc").read_bytes()[:4] == b"GSC2"
+
+
+def test_empty_and_missing_folders(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    empty, missing = str(tmp_path / "none"), str(tmp_path / "gone")
+    for path in (empty, missing):
+        with pytest.raises(FileNotFoundError):
+            programs.compress(spark, path, str(tmp_path / "out"))
+        with pytest.raises(FileNotFoundError):
+            programs.compare(spark, path, empty, str(tmp_path / "csv"))
+    with pytest.raises(FileNotFoundError):
+        programs.decompress(spark, missing, str(tmp_path / "out"))
+    assert programs.decompress(spark, empty, str(tmp_path / "out")).count() == 0
+
+
+def test_summary_without_a_finite_ratio(spark):
+    schema = "image string, width bigint, height bigint, pixels binary"
+    a = raster(8, 8).tobytes()
+    one = images.report(images.compare(spark.createDataFrame([("a.pgm", 8, 8, a)], schema), spark.createDataFrame([("a_stream.pgm", 8, 8, a)], schema)))
+    s = images.comparison_summary(one).first()
+    assert (s.mean_finite_psnr_db, s.lowest_image, s.exit_code, s.succeeded) == (float("inf"), None, 0, 1)
+    none = images.comparison_summary(images.report(images.compare(spark.createDataFrame([("a.pgm", 8, 8, a)], schema), spark.createDataFrame([], schema)))).first()
+    assert (none.failed, none.exit_code, none.pixels) == (1, 1, None)
+
+
+def test_profiles_without_timed_runs(spark):
+    runs = spark.createDataFrame([("a", "dct", 0, 9.0)], "image string, stage string, run int, ms double")
+    with pytest.raises(ValueError):
+        profile.sample_stats(runs)
+    sizes = spark.createDataFrame([("a", 64, 0, 0)], "image string, raw_bytes long, compressed_bytes long, status int")
+    wide, narrow = profile.hardware_profile(runs, sizes), profile.stream_profile(runs, sizes)
+    assert len(wide.columns) == 28 and len(narrow.columns) == 16 and wide.first().compression_ratio == 0 and narrow.first().kernel_mpix_per_s == 0
