@@ -27,6 +27,8 @@ BLOCK = 8192
 #: Cells that one is parted into at most in a round, and rounds. Cells that are still too large then are dealt to several
 #: tasks by hash, so these bound no result.
 FAN, ROUNDS = 64, 8
+#: Shares that the rows of a component are dealt to.
+SHARES = 64
 #: Nodes of fewer vectors, or of a smaller radius than the threshold, are leaves.
 LEAF = 16
 #: Centres that are compared with all others at once.
@@ -35,10 +37,10 @@ SLACK = 1e-7
 
 
 class Node:
-    __slots__ = ("center", "radius", "rows", "children")
+    __slots__ = ("center", "radius", "rows", "children", "joined")
 
     def __init__(self, center: int, radius: float, rows: np.ndarray):
-        self.center, self.radius, self.rows, self.children = center, radius, rows, []
+        self.center, self.radius, self.rows, self.children, self.joined = center, radius, rows, [], False
 
 
 def _far(x: np.ndarray, center: int, rows: np.ndarray) -> np.ndarray:
@@ -56,16 +58,22 @@ def build(x: np.ndarray, reach: float) -> Node:
             continue
         while radius > node.radius:
             radius /= 2
-        left, center = node.rows, node.center
-        while len(left):
-            d = _far(x, center, left)
-            near = d <= radius
-            near[left == center] = True
-            child = Node(center, float(d[near].max()), left[near])
-            node.children.append(child)
-            left = left[~near]
-            if len(left):
-                center = left[0]
+        left, at = node.rows, int(np.flatnonzero(node.rows == node.center)[0])
+        vectors, alive = x[left], np.ones(len(left), dtype=bool)
+        while True:
+            center = int(left[at])
+            square = 2 - 2 * (vectors @ x[center])
+            near = alive & (square <= radius * radius)
+            near[at] = True
+            node.children.append(Node(center, float(np.sqrt(max(0.0, square[near].max()))), left[near]))
+            alive &= ~near
+            rest = np.count_nonzero(alive)
+            if not rest:
+                break
+            if 2 * rest < len(left):  # copied a few times only
+                left, vectors = left[alive], vectors[alive]
+                alive = np.ones(rest, dtype=bool)
+            at = int(alive.argmax())
         todo += [(c, radius / 2) for c in node.children if len(c.rows) > LEAF]
     return root
 
@@ -91,7 +99,7 @@ def scaled(v: np.ndarray) -> np.ndarray:
 
 
 def links(a: np.ndarray, b: np.ndarray | None, cosine: float, weight_a: np.ndarray | None = None, weight_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Weights of what is linked with each row of a and of b, and edges that connect what is linked; rows of b are numbered
+    """Weights of what is linked with each row of a and of b, and a forest that connects what links connect; rows of b are numbered
     on from those of a. With b None, links are those inside a, without a row's link to itself."""
     own = b is None
     a = scaled(a)
@@ -109,44 +117,43 @@ def links(a: np.ndarray, b: np.ndarray | None, cosine: float, weight_a: np.ndarr
     count_b = count_a if own else np.zeros(len(b), dtype=np.int64)
 
     def whole(u: Node, v: Node) -> None:
+        """All rows of both are linked. A node whose rows are connected already adds one edge, whatever its size."""
         p, q = u.rows, v.rows
         count_a[p] += wb[q].sum()
         if u is v:
             count_a[p] -= wa[p]
-            edges.extend((int(i), int(p[0])) for i in p[1:])
-            return
-        count_b[q] += wa[p].sum()
-        edges.extend((int(i), int(q[0]) + off) for i in p)
-        edges.extend((int(j) + off, int(p[0])) for j in q[1:])
-
-    def leaves(u: Node, v: Node) -> None:
-        q, same = v.rows, own and u is v
-        for at in range(0, len(u.rows), STRIP):
-            p = u.rows[at : at + STRIP]
-            m = (a[p] @ b[q].T) / (na[p][:, None] * nb[q][None, :]) >= cosine
+        else:
+            count_b[q] += wa[p].sum()
+        for n, rows, shift in ((u, p, 0), (v, q, off)):
+            if not n.joined:
+                n.joined = True
+                edges.append(np.stack([rows + shift, np.full(len(rows), rows[0] + shift)]))
+        edges.append(np.array([[q[0] + off], [p[0]]]))
+
+    def exact(us: list[Node], vs: list[Node], meet: np.ndarray, same: bool) -> None:
+        """The rows of nodes without children, all pairs of them that meet at once; in one tree, each pair of rows once."""
+        (p, of_p), (q, of_q) = _rows_of(us), _rows_of(vs)
+        for at in range(0, len(p) if len(q) else 0, STRIP):
+            i, of_i = p[at : at + STRIP], of_p[at : at + STRIP]
+            m = meet[of_i][:, of_q]
             if same:
-                m[np.arange(len(p)), np.arange(at, at + len(p))] = False
+                m &= (of_i[:, None] != of_q[None, :]) | (i[:, None] < q[None, :])
+            if not m.any():
+                continue
+            m &= (a[i] @ b[q].T) / (na[i][:, None] * nb[q][None, :]) >= cosine
             if not m.any():
                 continue
-            count_a[p] += m @ wb[q]
-            if not same:
-                count_b[q] += wa[p] @ m
+            count_a[i] += m @ wb[q]
+            count_b[q] += wa[i] @ m
             r, c = _local_roots(m)
-            edges.extend((int(p[i]), int(p[k])) for i, k in zip(range(len(p)), r) if k < len(p))
-            edges.extend((int(q[j]) + off, int(p[k])) for j, k in zip(range(len(q)), c) if k < len(p))
+            edges.append(np.stack([i[r < len(i)], i[r[r < len(i)]]]))
+            edges.append(np.stack([q[c < len(i)] + off, i[c[c < len(i)]]]))
 
-    todo = [(s, t)]
+    todo = [([s], [t], own)]
     while todo:
-        u, v = todo.pop()
-        if not u.children and not v.children:
-            if own and u is v and 2 * u.radius <= reach - SLACK:
-                whole(u, v)
-            else:
-                leaves(u, v)
-            continue
-        same = own and u is v
-        us, vs = u.children or [u], v.children or [v]
+        us, vs, same = todo.pop()
         centers, radii = y[[n.center for n in vs]], np.array([n.radius for n in vs])
+        low = np.array([not n.children for n in vs])
         for at in range(0, len(us), STRIP):
             part = us[at : at + STRIP]
             d = np.sqrt(np.maximum(0, 2 - 2 * (x[[n.center for n in part]] @ centers.T)))
@@ -155,12 +162,44 @@ def links(a: np.ndarray, b: np.ndarray | None, cosine: float, weight_a: np.ndarr
             if same:  # each pair once
                 meet &= np.arange(at, at + len(part))[:, None] <= np.arange(len(vs))[None, :]
             inside = meet & (d + both <= reach - SLACK)
-            for i, j in zip(*np.nonzero(meet)):
-                if inside[i, j]:
-                    whole(part[i], vs[j])
-                else:
-                    todo.append((part[i], vs[j]))
-    return count_a, count_b, edges
+            lowest = np.array([not n.children for n in part])[:, None] & low[None, :]
+            # Pairs of single vectors are decided below, many at once.
+            alone = np.array([len(n.rows) == 1 for n in part])[:, None] & np.array([len(n.rows) == 1 for n in vs])[None, :]
+            inside &= ~alone
+            for i, j in zip(*np.nonzero(inside)):
+                whole(part[i], vs[j])
+            meet &= ~inside
+            for i, j in zip(*np.nonzero(meet & ~lowest)):
+                u, v = part[i], vs[j]
+                todo.append((u.children or [u], v.children or [v], own and u is v))
+            exact([*([None] * at if same else []), *part], vs, np.pad(meet & lowest, ((at if same else 0, 0), (0, 0))), same)
+    return count_a, count_b, _forest(len(a) + (0 if own else len(b)), edges)
+
+
+def _rows_of(nodes: list[Node | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of those nodes that have no children, and the place of each row's node."""
+    some = [(k, n.rows) for k, n in enumerate(nodes) if n is not None and not n.children]
+    if not some:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([r for _, r in some]), np.repeat([k for k, _ in some], [len(r) for _, r in some])
+
+
+def _forest(n: int, edges: list[np.ndarray]) -> list[tuple[int, int]]:
+    """An edge from each connected row to the smallest that it reaches, fewer than there are rows."""
+    e = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), dtype=np.int64)
+    top = np.arange(n)
+    while True:
+        least = np.minimum(top[e[0]], top[e[1]])
+        new = top.copy()
+        for ends in (e[0], e[1]):
+            np.minimum.at(new, top[ends], least)
+            np.minimum.at(new, ends, least)
+        new = new[new]
+        if (new == top).all():
+            break
+        top = new
+    at = np.flatnonzero(top != np.arange(n))
+    return list(zip(at.tolist(), top[at].tolist()))
 
 
 def _vectors(column) -> np.ndarray:
@@ -380,9 +419,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     names = cut(names.select(*key, (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")))
     member = usable.select("uid", "id", *key).join(names, key)
     member = cut(member.select("uid", "id", "n_links", "root"))
-    least = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", F.col("uid"))).alias("m"))
-    # One row a component goes back to its rows; only components of several rows are asked for.
-    linked = member.join(least, "root").select("uid", "n_links", F.col("m.id").alias("component_id"), F.col("m.uid").alias("keeper"))
+    # The answer goes back the way the rows came: to the shares of a component, then to its rows.
+    member = member.withColumn("share", F.pmod(F.xxhash64("uid"), F.lit(SHARES)))
+    shares = member.groupBy("root", "share").agg(F.min(F.struct(F.col("id").isNull(), "id", F.col("uid"))).alias("m"))
+    least = shares.select("root", "share").join(shares.groupBy("root").agg(F.min("m").alias("m")), "root")
+    linked = member.join(least, ["root", "share"]).select("uid", "n_links", F.col("m.id").alias("component_id"), F.col("m.uid").alias("keeper"))
     out = rows.select("uid", "id").join(linked, "uid", "left")
     alone = F.col("keeper").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))

@@ -23,7 +23,7 @@ from .bpe import as_letters
 
 CAPACITY = 2048
 #: Words, and parts of words, that a worker remembers at most; a memory is emptied when it is full.
-REMEMBER, REMEMBER_PARTS = 250_000, 100_000
+REMEMBER = 250_000
 #: Pieces that a partition of any round should hold.
 PER_PART = 20_000
 #: Sequences that a certified partition opens for the exchange.
@@ -53,7 +53,7 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         """The ids of one match; the parts of words recur more often than the words."""
         if part not in self.parts:
-            if len(self.parts) > REMEMBER_PARTS:
+            if len(self.parts) > REMEMBER:
                 self.parts.clear()
             merged = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
             self.parts[part] = np.array([x.id for x in merged], dtype="<u4").tobytes()
