@@ -13,7 +13,7 @@ from blockloom.llm import htmltext, learning, quality, toxicity  # noqa: E402
 def test_trees_against_a_walk():
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 5))
-    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), trees=12, depth=3)
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
     inner = model.feature.shape[1]
     for row, got in zip(x, model.margin(x)):
         want = model.base
