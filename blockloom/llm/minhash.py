@@ -33,6 +33,8 @@ SIZE = CHUNKS * WIDTH
 AGREE = SIZE // 2
 #: Classes of a bucket that are compared in one block.
 BLOCK = 1024
+#: Shares that a bucket's classes are dealt to where the bucket is looked up.
+SHARES = 64
 #: Candidates that a class tries before all of them are compared.
 BEST = 3
 #: Words that a worker remembers at most; the memory is emptied when it is full.
@@ -333,8 +335,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     crowded = members.filter("size > 2")
     for best in (BEST, None):
         apart = crowded.join(roots, "node", "left").select("bucket", "node", "slot", "size", F.coalesce("root", "node").alias("comp"))
-        several = apart.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
-        apart = apart.join(several, "bucket").join(sizes, "node")
+        # A bucket may hold a third of all classes: its answer goes back to shares of it.
+        apart = apart.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)))
+        shares = apart.groupBy("bucket", "share").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+        several = shares.groupBy("bucket").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a < b").select("bucket")
+        several = shares.select("bucket", "share").join(several, "bucket")
+        apart = apart.join(several, ["bucket", "share"]).join(sizes, "node")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         apart = apart.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         apart = apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "slot", "comp", "n", "sig", "own")
