@@ -246,3 +246,12 @@ def test_lines_beside_clashing_columns(spark):
     docs = spark.createDataFrame([(1, a, 7, 8, 9), (2, a, 7, 8, 9)], "doc_id long, text string, __runs int, __id int, lines_removed int")
     got = lines.line_dedup(docs, removed_col="lines_removed").orderBy("doc_id").collect()
     assert [(r.text, r["__runs"], r["__id"], r.lines_removed) for r in got] == [(a, 7, 8, 0), ("", 7, 8, 1)]
+
+
+def test_plain_texts_have_no_white_space_but_spaces(spark):
+    """Each rare white space is found, whatever its first bytes; characters that begin alike aren't white space."""
+    from pyspark.sql import functions
+
+    texts = [*(f"a{chr(c)}b" for c in lines.RARE), "a “b” – c", "a b\nc", "", None]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(lines._plain(functions.col("t"))).collect()
+    assert [r[0] for r in got] == [False] * len(lines.RARE) + [True, True, True, None]
