@@ -6,7 +6,8 @@ indexed once for each choice of the ERRORS components that may differ, and every
 bucket. Candidates are confirmed on full shingle sets.
 
 Texts with equal sets are one class from the start. In a bucket, classes are first compared with two pivots only; what
-that leaves in different components then tries the few most like it. Components that still have alike signatures are
+that leaves outside the bucket's largest component then tries the few most like it. So a bucket of copies that the pivots
+have joined costs what is outside them, not the square of its size. Components that still have alike signatures are
 brought together, and those outside the largest are compared with all the rest on full sets, in blocks: no pairs are
 written but links.
 """
@@ -33,8 +34,8 @@ SIZE = CHUNKS * WIDTH
 AGREE = SIZE // 2
 #: Classes of a bucket that are compared in one block.
 BLOCK = 1024
-#: Shares that a bucket's classes are dealt to where the bucket is looked up.
-SHARES = 64
+#: Classes of a bucket that go together, about, where the bucket is looked up.
+SHARE = 128
 #: Candidates that a class tries before all of them are compared.
 BEST = 3
 #: Words that a worker remembers at most; the memory is emptied when it is full.
@@ -170,22 +171,16 @@ def _confirm(percent: int):
 
 
 def _across(percent: int, best: int | None):
-    """What signatures and sizes allow to be linked across components, in one block pair of a bucket: for each class
-    outside the block's largest component the ``best`` that agree most, or, without a number, a forest that connects
-    components so alike. The rows of a block pair come one after another."""
+    """What signatures and sizes allow to be linked across components, in one block pair of a bucket: for each left class
+    the ``best`` that agree most, or, without a number, a forest that connects components so alike. The rows of a block
+    pair come one after another; those on the left are outside the bucket's largest component."""
 
     def pairs(rows: pa.Table) -> list[tuple[int, int]]:
         node, comp, n, left, right, slot = (rows[c].to_numpy() for c in ("node", "comp", "n", "left", "right", "slot"))
         sig = _matrix(rows["sig"].combine_chunks())
-        names, where, count = np.unique(comp, return_inverse=True, return_counts=True)
-        ask = left & (where != count.argmax()) if best else left
         out = []
-        for i in np.flatnonzero(ask):
-            may = right & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if not best:
-                # A pair of the same block is met once; one with the largest component comes from its other side.
-                may &= ~left | (node > node[i])
-            may = np.flatnonzero(may)
+        for i in np.flatnonzero(left):
+            may = np.flatnonzero(right & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             if not len(may):
                 continue
             same = sig[may] == sig[i]
@@ -334,17 +329,20 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     # tries those most like it; after that only the components that are still alike are named.
     crowded = members.filter("size > 2")
     for best in (BEST, None):
-        apart = crowded.join(roots, "node", "left").select("bucket", "node", "slot", "size", F.coalesce("root", "node").alias("comp"))
+        apart = cut(crowded.join(roots, "node", "left").select("bucket", "node", "slot", "size", F.coalesce("root", "node").alias("comp")))
+        counts = apart.groupBy("bucket", "size", "comp").agg(F.count("*").alias("n"))
+        several = counts.groupBy("bucket", "size").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1")
         # A bucket may hold a third of all classes: its answer goes back to shares of it.
-        apart = apart.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)))
-        shares = apart.groupBy("bucket", "share").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-        several = shares.groupBy("bucket").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a < b").select("bucket")
-        several = shares.select("bucket", "share").join(several, "bucket")
-        apart = apart.join(several, ["bucket", "share"]).join(sizes, "node")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        apart = apart.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        apart = apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "slot", "comp", "n", "sig", "own")
-        apart = apart.withColumns({"left": F.col("own") == F.col("i"), "right": F.col("own") == F.col("j")}).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+        shares = F.ceil(F.col("size") / SHARE).cast("int")
+        several = several.select("bucket", F.col("m.comp").alias("main"), F.col("m.n").alias("inside"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+        apart = apart.withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int")).join(several, ["bucket", "share"]).join(sizes, "node")
+        out = F.col("comp") != F.col("main")
+        b, s = (F.ceil(x / BLOCK).cast("int") for x in (F.col("size"), F.col("size") - F.col("inside")))
+        own = F.xxhash64("node", F.lit(1))
+        cols = ["bucket", "node", "slot", "comp", "n", "sig"]
+        right = apart.select(*cols, F.pmod(own, b).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), s - 1)).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+        left = apart.filter(out).select(*cols, F.explode(F.sequence(F.lit(0), b - 1)).alias("i"), F.pmod(own, s).cast("int").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+        apart = right.unionByName(left).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
         more = cut(apart.mapInArrow(_across(percent, best), "u long, v long").distinct())
         if best:
             links = cut(links.unionByName(confirmed(more)))
