@@ -116,7 +116,11 @@ def near_groups(docs, q, percent):
     return top, sets
 
 
-def test_minhash_against_brute_force(spark, none):
+@pytest.mark.parametrize("block,share", [(minhash.BLOCK, minhash.SHARE), (4, 3)])
+def test_minhash_against_brute_force(spark, none, monkeypatch, block, share):
+    # With small blocks a bucket is dealt to many of them, on both sides.
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SHARE", share)
     r = random.Random(9)
     base = [[f"w{r.randint(0, 4000)}" for _ in range(60)] for _ in range(6)]
     docs = []
