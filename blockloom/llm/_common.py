@@ -90,6 +90,21 @@ def give_back() -> None:
 
 #: Rows that a text operator holds at once, beside the Arrow batch they come in.
 SLICE = 512
+#: Spark's settings of how many rows a task holds at once where it reads files and where it hands rows to Python.
+BATCHES = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def small_batches(spark: SparkSession) -> dict[str, str]:
+    """Lower BATCHES to SLICE rows for the session, where they are higher, and return what they were.
+
+    By default a reader holds 4,096 texts in one array and Arrow 10,000 in one buffer, for each task; their rows are the
+    same in smaller batches.
+    """
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    for k, v in before.items():
+        if not 0 < int(v) <= SLICE:
+            spark.conf.set(k, str(SLICE))
+    return before
 
 
 def tidy(run):
