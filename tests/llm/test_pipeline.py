@@ -1,13 +1,19 @@
 """Stages of the corpus pipeline on small tables."""
 
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 pytest.importorskip("blockloom.llm")
 import corpus_pipeline  # noqa: E402
 from blockloom.llm import toxicity  # noqa: E402
+from blockloom.llm._common import BATCHES, SLICE  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(60)]
 LONG, NEAR, OTHER = " ".join(WORDS), " ".join([*WORDS[:-1], "x"]), " ".join(f"o{i}" for i in range(60))
@@ -27,6 +33,44 @@ def test_near_stage_decides_each_row(spark):
     assert corpus_pipeline.near_stage(spark, docs.limit(0), "").count() == 0
 
 
+SMALL_HEAP = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.driver.memory", "512m").config("spark.ui.enabled", "false").getOrCreate()
+import corpus_pipeline
+docs = spark.read.parquet(sys.argv[1] + "/documents.parquet")
+print("kept", corpus_pipeline.quality_stage(spark, docs, sys.argv[1]).count())
+"""
+
+
+def test_a_stage_needs_little_memory_for_long_texts(tmp_path):
+    # Four tasks at once, each with a row group of 3,000 texts of 16 KB: 192 MB of text in a heap of 512 MB.
+    os.mkdir(tmp_path / "documents.parquet")
+    for k in range(4):
+        texts = pa.table({"doc_id": range(3000 * k, 3000 * (k + 1)), "text": [f"{i} " + "some words of a line. " * 727 for i in range(3000)]})
+        pq.write_table(texts, tmp_path / "documents.parquet" / f"{k}.parquet", use_dictionary=False, row_group_size=3000)
+    pq.write_table(pa.table({"doc_id": range(40), "quality": [1] * 40, "toxic": [0] * 40}), tmp_path / "labels.parquet")
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    got = subprocess.run([sys.executable, "-c", SMALL_HEAP, str(tmp_path)], env=os.environ | {"PYTHONPATH": root}, cwd=tmp_path, capture_output=True, text=True)
+    assert "kept 12000" in got.stdout, got.stderr[-2000:]
+
+
+def test_run_gives_the_settings_back(spark, tmp_path, monkeypatch):
+    def stage(spark, docs, sf_dir):
+        assert all(int(spark.conf.get(k)) <= SLICE for k in BATCHES)
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("nothing", stage)])
+    spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = [spark.conf.get(k) for k in BATCHES]
+    spark.conf.set(BATCHES[0], "100")  # lower already: left as it is
+    try:
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2
+        assert [spark.conf.get(k) for k in BATCHES] == ["100", before[1]]
+    finally:
+        spark.conf.set(BATCHES[0], before[0])
+
+
 def test_each_language_has_a_threshold_of_its_own(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     # With 300 rows to learn from, the sample's fifth has too few toxic rows of any language; the other labels calibrate.
