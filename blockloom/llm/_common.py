@@ -90,23 +90,32 @@ def give_back() -> None:
 
 #: Rows that a text operator holds at once, beside the Arrow batch they come in.
 SLICE = 512
-#: Spark's settings of how many rows a task holds at once where it reads files and where it hands rows to Python.
-BATCHES = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+#: Settings of how much a task holds at once: rows where it reads files and where it hands rows to Python, bytes of a column
+#: group where it writes files, which a reader then holds.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": SLICE, "spark.sql.execution.arrow.maxRecordsPerBatch": SLICE, "parquet.block.size": 8 << 20}
 
 
-def small_batches(spark: SparkSession) -> dict[str, str]:
-    """Lower BATCHES to SLICE rows for the session, where they are higher, and return what they were.
+def small_batches(spark: SparkSession) -> dict[str, str | None]:
+    """Lower BATCHES for the session, where they are higher or unset, and return what they were.
 
-    By default a reader holds 4,096 texts in one array and Arrow 10,000 in one buffer, for each task; their rows are the
-    same in smaller batches.
+    By default a reader holds 4,096 texts in one array and Arrow 10,000 in one buffer, for each task, and a writer 128 MB;
+    the rows are the same in smaller batches.
     """
-    before = {k: spark.conf.get(k) for k in BATCHES}
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
     for k, v in before.items():
-        if not 0 < int(v) <= SLICE:
-            spark.conf.set(k, str(SLICE))
+        if not v or not 0 < int(v) <= BATCHES[k]:
+            spark.conf.set(k, str(BATCHES[k]))
     return before
 
 
+def put_back(spark: SparkSession, before: dict[str, str | None]) -> None:
+    for k, v in before.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
 def tidy(run):
     """For mapInArrow: batches come in slices of SLICE rows, and freed memory goes back when the task ends, as the worker
     lives on."""

@@ -13,7 +13,7 @@ import pytest
 pytest.importorskip("blockloom.llm")
 import corpus_pipeline  # noqa: E402
 from blockloom.llm import toxicity  # noqa: E402
-from blockloom.llm._common import BATCHES, SLICE  # noqa: E402
+from blockloom.llm._common import BATCHES, put_back  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(60)]
 LONG, NEAR, OTHER = " ".join(WORDS), " ".join([*WORDS[:-1], "x"]), " ".join(f"o{i}" for i in range(60))
@@ -57,18 +57,19 @@ def test_a_stage_needs_little_memory_for_long_texts(tmp_path):
 
 def test_run_gives_the_settings_back(spark, tmp_path, monkeypatch):
     def stage(spark, docs, sf_dir):
-        assert all(int(spark.conf.get(k)) <= SLICE for k in BATCHES)
+        assert all(int(spark.conf.get(k)) <= v for k, v in BATCHES.items())
         return docs
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("nothing", stage)])
     spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    before = [spark.conf.get(k) for k in BATCHES]
-    spark.conf.set(BATCHES[0], "100")  # lower already: left as it is
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    first = next(iter(BATCHES))
+    spark.conf.set(first, "100")  # lower already: left as it is
     try:
         assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2
-        assert [spark.conf.get(k) for k in BATCHES] == ["100", before[1]]
+        assert {k: spark.conf.get(k, None) for k in BATCHES} == before | {first: "100"}
     finally:
-        spark.conf.set(BATCHES[0], before[0])
+        put_back(spark, before)
 
 
 def test_each_language_has_a_threshold_of_its_own(spark):
