@@ -5,8 +5,9 @@ fewer than CHUNKS * (ERRORS + 1) components agree, in some chunk, in all but ERR
 indexed once for each choice of the ERRORS components that may differ, and every pair under that distance meets in a
 bucket. Candidates are confirmed on full shingle sets.
 
-Texts with equal sets are one class from the start. In a bucket, classes are first compared with two pivots only; what
-that leaves outside the bucket's largest component then tries the few most like it. So a bucket of copies that the pivots
+Texts with equal sets are one class from the start. In a bucket, classes are first compared with two pivots only. Buckets
+of a chunk that hold mostly the same classes are then taken as one, so that these come once a chunk, not once a bucket;
+what the pivots left outside its largest component tries the few most like it. So a bucket of copies that the pivots
 have joined costs what is outside them, not the square of its size. Components that still have alike signatures are
 brought together, and those outside the largest are compared with all the rest on full sets, in blocks: no pairs are
 written but links.
@@ -120,24 +121,48 @@ def _matrix(column) -> np.ndarray:
 
 
 def _index(batches):
-    """A row for each chunk and each choice of components that may differ: a hash of the other components."""
+    """A row for each chunk and each choice of components that may differ: a hash of the other components, and ``rest``,
+    those that may differ."""
     for b in batches:
         if not b.num_rows:
             continue
         sig, node = _matrix(b.column("sig")).astype(np.uint64), b.column("node").to_numpy()
-        keys = []
+        keys, rests = [], []
         for c in range(CHUNKS):
             for i, free in enumerate(combinations(range(WIDTH), ERRORS)):
                 h = np.full(len(sig), np.uint64(c * 1000 + i))
+                rest = np.zeros(len(sig), dtype=np.uint64)
                 for j in range(WIDTH):
-                    if j not in free:
+                    if j in free:
+                        rest = (rest << np.uint64(16)) | sig[:, c * WIDTH + j]
+                    else:
                         h = (h ^ sig[:, c * WIDTH + j]) * _C1
                         h ^= h >> np.uint64(29)
                 keys.append(((h * _C2) ^ (h >> np.uint64(32))).view(np.int64))
+                rests.append(rest.view(np.int64))
         for i in range(0, len(keys), 6):
             part = keys[i : i + 6]
             slot = np.repeat(np.arange(i, i + len(part), dtype=np.int32), len(node))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.tile(node, len(part))), pa.array(slot)], names=["bucket", "node", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.tile(node, len(part))), pa.array(slot), pa.array(np.concatenate(rests[i : i + 6]))], names=["bucket", "node", "slot", "rest"])
+
+
+def _gathered(members: DataFrame) -> DataFrame:
+    """(bucket, slot, node, size): crowded buckets, with those of a chunk taken as one in which the same value of the whole
+    chunk is the commonest and has half of the classes or more.
+
+    Each of them holds all classes of that value, so what it adds are the classes that differ; every pair of a bucket is
+    still a pair of what it became. That has the least class of the value for a bucket, -1 - chunk for a slot, and twice
+    the classes of the value for a size, from which its own is a matter of a few times.
+    """
+    values = members.groupBy("bucket", "slot", "size", "rest").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    most = values.groupBy("bucket", "slot", "size").agg(F.max(F.struct("n", "least")).alias("m")).filter(2 * F.col("m.n") >= F.col("size"))
+    shares = F.ceil(F.col("size") / SHARE).cast("int")
+    most = most.select("bucket", "slot", F.col("m.least").alias("least"), F.col("m.n").alias("n"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    # A bucket may hold a third of all classes: its answer goes back to shares of it.
+    found = members.withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int")).join(most, ["bucket", "slot", "share"], "left")
+    one = F.col("least").isNotNull()
+    chunk = F.floor(F.col("slot") / len(_FREE)).cast("int")
+    return found.select(F.coalesce("least", "bucket").alias("bucket"), F.when(one, -1 - chunk).otherwise(F.col("slot")).alias("slot"), "node", F.when(one, 2 * F.col("n")).otherwise(F.col("size")).alias("size")).distinct()
 
 
 _FREE = {free: i for i, free in enumerate(combinations(range(WIDTH), ERRORS))}
@@ -185,7 +210,10 @@ def _across(percent: int, best: int | None):
                 continue
             same = sig[may] == sig[i]
             agree = same.sum(axis=1)
-            here = (agree >= AGREE) & (_first_slot(same) == slot[i] if best else True)
+            here = agree >= AGREE
+            if best:
+                first = _first_slot(same)
+                here &= (first if slot[i] >= 0 else -1 - first // len(_FREE)) == slot[i]
             may, agree = may[here], agree[here]
             if best:
                 order = np.lexsort((may, -agree))[:best]
@@ -194,7 +222,7 @@ def _across(percent: int, best: int | None):
             out += [(min(names_of[i], x), max(names_of[i], x)) for x in names_of[may]]
         return out if best else _spanning(set(out))
 
-    return _by_block(pairs, ["bucket", "i", "j"])
+    return _by_block(pairs, ["bucket", "slot", "i", "j"])
 
 
 def _spanning(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -291,7 +319,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     classes = cut(
         rows.filter("n > 0").groupBy("key").agg(F.min(first).alias("first"), F.min("id").alias("least_id")).select("key", F.col("first.uid").alias("node"), F.col("first.id").alias("id"), "first.check", "first.n", "first.sig", "least_id")
     )
-    index = classes.select("node", "sig").mapInArrow(_index, "bucket long, node long, slot int")
+    index = classes.select("node", "sig").mapInArrow(_index, "bucket long, node long, slot int, rest long")
     buckets = index.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high")
     members = cut(index.join(buckets, "bucket"))
     pivots = members.select(F.col("low").alias("u"), F.col("node").alias("v")).unionByName(members.select(F.col("node").alias("u"), F.col("high").alias("v"))).filter("u < v").distinct()
@@ -327,22 +355,22 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     roots = cut(components(links))
     # What the pivots left apart: buckets with classes of several components, three classes at least. First each class
     # tries those most like it; after that only the components that are still alike are named.
-    crowded = members.filter("size > 2")
+    crowded = cut(_gathered(members.filter("size > 2")))
     for best in (BEST, None):
-        apart = cut(crowded.join(roots, "node", "left").select("bucket", "node", "slot", "size", F.coalesce("root", "node").alias("comp")))
-        counts = apart.groupBy("bucket", "size", "comp").agg(F.count("*").alias("n"))
-        several = counts.groupBy("bucket", "size").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1")
-        # A bucket may hold a third of all classes: its answer goes back to shares of it.
+        apart = cut(crowded.join(roots, "node", "left").select("bucket", "slot", "node", "size", F.coalesce("root", "node").alias("comp")))
+        counts = apart.groupBy("bucket", "slot", "size", "comp").agg(F.count("*").alias("n"))
+        several = counts.groupBy("bucket", "slot", "size").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("comps")).filter("comps > 1")
+        # Its answer goes back to shares of a bucket again.
         shares = F.ceil(F.col("size") / SHARE).cast("int")
-        several = several.select("bucket", F.col("m.comp").alias("main"), F.col("m.n").alias("inside"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
-        apart = apart.withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int")).join(several, ["bucket", "share"]).join(sizes, "node")
+        several = several.select("bucket", "slot", "all", F.col("m.comp").alias("main"), F.col("m.n").alias("inside"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+        apart = apart.withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int")).join(several, ["bucket", "slot", "share"]).join(sizes, "node")
         out = F.col("comp") != F.col("main")
-        b, s = (F.ceil(x / BLOCK).cast("int") for x in (F.col("size"), F.col("size") - F.col("inside")))
+        b, s = (F.ceil(x / BLOCK).cast("int") for x in (F.col("all"), F.col("all") - F.col("inside")))
         own = F.xxhash64("node", F.lit(1))
-        cols = ["bucket", "node", "slot", "comp", "n", "sig"]
+        cols = ["bucket", "slot", "node", "comp", "n", "sig"]
         right = apart.select(*cols, F.pmod(own, b).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), s - 1)).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))
         left = apart.filter(out).select(*cols, F.explode(F.sequence(F.lit(0), b - 1)).alias("i"), F.pmod(own, s).cast("int").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
-        apart = right.unionByName(left).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+        apart = right.unionByName(left).repartition("bucket", "slot", "i", "j").sortWithinPartitions("bucket", "slot", "i", "j", "node")
         more = cut(apart.mapInArrow(_across(percent, best), "u long, v long").distinct())
         if best:
             links = cut(links.unionByName(confirmed(more)))

@@ -144,6 +144,59 @@ def test_minhash_odd(spark, odd):
     assert minhash.near_dedup(odd, words=2).count() == len(ODD)
 
 
+def test_gathered_buckets_keep_every_pair(spark):
+    r = np.random.default_rng(4)
+    a = np.where(r.random((80, minhash.SIZE)) < 0.88, 1, r.integers(2, 5, (80, minhash.SIZE))).astype(np.uint16)
+    a[60:] = r.integers(0, 2, (20, minhash.SIZE))  # no value has half of their buckets
+    index = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(a)], "node long, sig binary").mapInArrow(minhash._index, "bucket long, node long, slot int, rest long")
+    sizes = index.groupBy("bucket").count().withColumnRenamed("count", "size").filter("size > 2")
+    members = index.join(sizes, "bucket")
+    before, after = {}, {}
+    for x in members.collect():
+        before.setdefault((x.bucket, x.slot), set()).add(x.node)
+    got = minhash._gathered(members).collect()
+    for x in got:
+        after.setdefault((x.bucket, x.slot), set()).add(x.node)
+    homes = [{k for k, v in after.items() if i in v} for i in range(80)]
+    chunk = lambda slot: slot // len(minhash._FREE) if slot >= 0 else -1 - slot
+    for (_, slot), nodes in before.items():
+        assert any(chunk(s) == chunk(slot) and nodes <= after[b, s] for b, s in set.intersection(*(homes[i] for i in nodes)))
+    assert {s < 0 for _, s in after} == {True, False}
+    assert len(got) == sum(map(len, after.values())) < 0.5 * sum(map(len, before.values()))
+    assert len({(x.bucket, x.slot, x.size) for x in got}) == len(after)
+
+
+def test_a_large_group_of_near_copies_comes_once_a_chunk(spark, tmp_path, monkeypatch):
+    import uuid
+
+    # Edits of one text, most of them too far from each other for a link: the pivots leave the buckets full.
+    r = random.Random(3)
+    base, docs = [f"w{i}" for i in range(150)], []
+    for i in range(300):
+        w = base[:]
+        for _ in range(r.randint(1, 14)):
+            w[r.randint(0, 149)] = f"x{r.randint(0, 10**6)}"
+        docs.append((i, " ".join(w)))
+    real = minhash._across
+
+    def counted(percent, best):
+        run = real(percent, best)
+
+        def rows(batches):
+            held = [*batches]
+            (tmp_path / uuid.uuid4().hex).write_text(str(sum(sum(b.column("right").to_pylist()) for b in held)))
+            yield from run(held)
+
+        return rows
+
+    monkeypatch.setattr(minhash, "_across", counted)
+    top, _ = near_groups(docs, 5, 80)
+    got = {x.doc_id: x.component_id for x in minhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert [got[i] for i, _ in docs] == top and 1 < len(set(top)) < 300
+    # In two rounds; by single buckets it is 22 times the classes in each.
+    assert 0 < sum(int(x.read_text()) for x in tmp_path.iterdir()) <= 2 * len(docs) * minhash.CHUNKS
+
+
 def test_first_slot_agrees_with_the_index():
     import pyarrow as pa
 
